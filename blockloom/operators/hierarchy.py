@@ -82,6 +82,11 @@ def extent_rows(extent_idx: DataFrame) -> DataFrame:
     )
 
 
+def tree_rows(dirent: DataFrame, dx_root: DataFrame, extent_idx: DataFrame) -> DataFrame:
+    """The distinct rows of both trees, written once: every later step starts from them."""
+    return cut(directory_rows(dirent, dx_root).unionByName(extent_rows(extent_idx)).distinct())
+
+
 def _links(rows: DataFrame) -> DataFrame:
     """One way up per node that some row names as its parent."""
     parents = rows.where("base is null").select("tree", "image_id", F.col("parent").alias("node")).distinct()
@@ -100,7 +105,7 @@ def resolve(links: DataFrame) -> DataFrame:
     ``path`` of an unreached node is null. ``root`` is the path of the root (empty for the root directory).
     """
     seg = cut(links.select(*KEY, "parent", F.col("parent").alias("top"), F.concat(F.lit("/"), "label").alias("seg"), "base", F.lit(1).alias("depth")))
-    for k in range(STRIDE_ROUNDS):
+    for _ in range(STRIDE_ROUNDS):
         upper = seg.select(
             "tree", "image_id", F.col("node").alias("top"), F.col("top").alias("_top"), F.col("seg").alias("_seg"), F.col("base").alias("_base"), F.col("depth").alias("_depth"), F.lit(True).alias("_hit")
         )
@@ -117,8 +122,7 @@ def resolve(links: DataFrame) -> DataFrame:
                 (F.col("depth") + F.when(hit, F.col("_depth")).otherwise(0)).alias("depth"),
             )
         )
-        if k % 2:
-            seg = cut(seg)
+        seg = cut(seg)
     done = [seg.where("base is not null").select(*KEY, F.concat("base", "seg").alias("path"), "depth", F.col("base").alias("root"))]
     frontier, rest = done[0], seg.where("base is null").drop("base")
     left = rest.count()
@@ -180,7 +184,7 @@ def _full(rows: DataFrame, resolved: DataFrame) -> DataFrame:
 
 def hierarchy(dirent: DataFrame, dx_root: DataFrame, extent_idx: DataFrame) -> DataFrame:
     """(tree, image_id, node, full_path, depth, root, parent) of every row of both trees."""
-    rows = directory_rows(dirent, dx_root).unionByName(extent_rows(extent_idx))
+    rows = tree_rows(dirent, dx_root, extent_idx)
     return _full(rows, resolve(_links(rows)))
 
 
@@ -214,8 +218,7 @@ def descendant_counts(dirent: DataFrame, dx_root: DataFrame, extent_idx: DataFra
     Counts climb the levels: rows are first counted per parent, then the subtotals of the deepest level are added to the
     level above, so that each level is one aggregation over at most the inner nodes of that level.
     """
-    rows = directory_rows(dirent, dx_root).unionByName(extent_rows(extent_idx))
-    rows = rows.select(*KEY, "parent", "label", "base", "inner").distinct()
+    rows = tree_rows(dirent, dx_root, extent_idx)
     links = _links(rows)
     own = rows.groupBy("tree", "image_id", F.col("parent").alias("node")).agg(F.count("*").alias("n"))
     # a frontier reaches a node only over its kept way up, so subtotals climb that way too
