@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockloom.llm import spans, tokenize
+from blockloom.llm import leaks, spans, tokenize
 from blockloom.session import read_table
 
 
@@ -12,6 +12,11 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode_corpus(read_table(spark, d, "documents", "doc_id", "text"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = read_table(spark, d, "documents", "doc_id", "text", "line_boxes")
+    return leaks.find_leaks(docs, read_table(spark, d, "eval_item", "item_id", "text")).select("doc_id", "item_id")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(read_table(spark, d, "documents", "doc_id", "text"))
 
@@ -21,7 +26,7 @@ def p8_share(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_share(docs, p8_found(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p8_found, p8_share)}
+QUERIES = {f.__name__: f for f in (p6_ids, p7_found, p8_found, p8_share)}
 
 _P8 = """
 WITH w AS (
