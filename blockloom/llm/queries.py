@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockloom.llm import leaks, spans, tokenize
+from blockloom.llm import garbled, leaks, lookalikes, spans, tokenize
 from blockloom.session import read_table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.repair_names(read_table(spark, d, "dirent", "entry_id", "name")).select("entry_id").distinct()
+
+
+def p3_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.repair_names(read_table(spark, d, "dirent", "entry_id", "name"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.same_looking(read_table(spark, d, "dirent", "entry_id", "image_id", "dir_inode", "name"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode_corpus(read_table(spark, d, "documents", "doc_id", "text"))
 
@@ -26,7 +38,7 @@ def p8_share(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_share(docs, p8_found(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p7_found, p8_found, p8_share)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_restored, p4_found, p6_ids, p7_found, p8_found, p8_share)}
 
 _P8 = """
 WITH w AS (
