@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from blockloom.session import cut
+
 CELL_BITS = 16
 INIT_MAX_LEN = 32768
 _PIECES = "entity string, cell bigint, kind string, run_start bigint, run_end bigint, first boolean, last boolean"
@@ -39,16 +41,15 @@ def dyadic_blocks(intervals: DataFrame, bits: int = CELL_BITS) -> DataFrame:
     """
     kept = [c for c in intervals.columns if c not in ("s", "e")]
     size = F.lit(1 << bits)
-    cells = intervals.where((F.col("e") > F.col("s")) & (F.col("s") >= 0)).withColumn(
-        "cell", F.explode(F.sequence(F.shiftright("s", bits), F.shiftright(F.col("e") - 1, bits)))
-    )
+    low, high = F.shiftright("s", bits), F.shiftright(F.col("e") - 1, bits)
+    cells = intervals.where((F.col("e") > F.col("s")) & (F.col("s") >= 0)).withColumn("cell", F.explode(F.sequence(low, high)))
     base = F.col("cell") * size
     local = cells.select(*kept, "cell", (F.greatest("s", base) - base).alias("s"), (F.least("e", base + size) - base).alias("e"))
     h = _log2(F.col("s").bitwiseXOR(F.col("e"))).cast("int")
     with_m = local.withColumn("m", F.call_function("shiftleft", F.call_function("shiftright", F.col("e"), h), h))
-    left = "transform(filter(sequence(0, {b}), l -> getbit(m - s, l) = 1), l -> struct(l as level, m - shiftleft(shiftright(m - s, l), l) as at))"
-    right = "transform(filter(sequence(0, {b}), l -> getbit(e - m, l) = 1), l -> struct(l as level, m + shiftleft(shiftright(e - m, l + 1), l + 1) as at))"
-    blocks = F.expr(f"concat({left}, {right})".format(b=bits))
+    left = "transform(filter(sequence(0, length(bin(m - s)) - 1), l -> getbit(m - s, l) = 1), l -> struct(l as level, m - shiftleft(shiftright(m - s, l), l) as at))"
+    right = "transform(filter(sequence(0, length(bin(e - m)) - 1), l -> getbit(e - m, l) = 1), l -> struct(l as level, m + shiftleft(shiftright(e - m, l + 1), l + 1) as at))"
+    blocks = F.expr(f"concat({left}, {right})")
     return with_m.select(*kept, "cell", F.explode(blocks).alias("b")).select(*kept, "cell", F.col("b.level").alias("level"), F.col("b.at").alias("start"))
 
 
@@ -190,7 +191,8 @@ def merge_intervals(intervals: DataFrame, owner: str | None = None, bits: int =
     owners = [F.min(owner).alias("low"), F.max(owner).alias("high")] if owner else [F.lit(1).alias("_one")]
     distinct = blocks.groupBy("entity", "cell", "level", "start").agg(*owners)
     laid = distinct.repartition("entity", "cell").sortWithinPartitions("entity", "cell")
-    pieces = laid.select("entity", "cell", "level", "start", *(["low", "high"] if owner else [])).mapInArrow(_pieces(bits, bool(owner)), _PIECES)
+    # written once: runs, gaps and edges are all read from the pieces
+    pieces = cut(laid.select("entity", "cell", "level", "start", *(["low", "high"] if owner else [])).mapInArrow(_pieces(bits, bool(owner)), _PIECES))
     edge = F.col("first") | F.col("last")
     inner = pieces.where(~edge).select("entity", "kind", "run_start", "run_end")
     by_start = Window.partitionBy("entity").orderBy("run_start")
