@@ -24,6 +24,7 @@ def get_spark(app: str = "blockloom", cpus: int | str = "*", shuffle_partitions:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.python.filterPushdown.enabled", "true")
         .getOrCreate()
     )
 
