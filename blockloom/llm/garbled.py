@@ -29,6 +29,8 @@ WRITTEN_AS = ("utf-8", "cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "iso885
 MARGIN = 3.0
 #: Hardly any text spells valid UTF-8 by chance, so a repair by it needs less.
 UTF8_MARGIN = 1.5
+#: Share of a repair's trigrams that the column must have, unless UTF-8 was read in every layer.
+SUPPORT = 0.5
 #: What each layer of a nested repair must gain.
 LAYER_COST = 2.0
 LAYERS = 3
@@ -122,7 +124,7 @@ def traces(word: str) -> float:
             total += 1.5 if (i == 0 or not word[i - 1].isalpha()) and (i + 1 == len(word) or not word[i + 1].isalpha()) else 3
         script = _script(c) if c.isalpha() else ""
         if script and before and script != before and {script, before} <= {"LATIN", "CYRILLIC", "GREEK"}:
-            total += 1.5
+            total += 1.0
         before = script or before
         if i and c.isupper() and word[i - 1].islower():
             total += 1.5
@@ -154,17 +156,18 @@ class Repair:
         if word.translate(_INVISIBLE).isascii():
             return False, word
         start = self.cost(word)
-        text, gain, layer, seen = word, 0.0, [(word, False)], {word}
+        text, gain, layer, seen = word, 0.0, [(word, True)], {word}
         for depth in range(1, LAYERS + 1):
             ranked = []
             for w, utf8 in layer:
                 for y, how in candidates(w):
                     if y and y not in seen:
                         seen.add(y)
-                        ranked.append((self.cost(y) + LAYER_COST * (depth - 1), y, utf8 or how.startswith("utf-8")))
+                        ranked.append((self.cost(y) + LAYER_COST * (depth - 1), y, utf8 and how.startswith("utf-8")))
             ranked.sort()
             for cost, y, utf8 in ranked[:3]:
-                if start - cost >= (UTF8_MARGIN if utf8 else MARGIN) and start - cost > gain:
+                known = utf8 or self.lm.support(y) >= SUPPORT
+                if known and start - cost >= (UTF8_MARGIN if utf8 else MARGIN) and start - cost > gain:
                     gain, text = start - cost, y
             # a next layer starts from what looks best so far, better or not
             layer = [(y, utf8) for _, y, utf8 in ranked[:3]]

@@ -33,9 +33,11 @@ BAND_BITS = 4
 PAD = 24
 WIDTH = 96
 #: A passage of 12 words may lose the letters of its first or last word to misreading, one of 8 words may gain a word or two by chance.
-MIN_WORDS = 11
-#: Letters matched less edits, over the best stretch: LETTERS letters with a quarter of them edited.
-LEAST_SCORE = 27
+MIN_WORDS = 10
+#: An edit costs more than a matched letter gains, so that a passage does not grow into the unlike text beside it, but not so much that noise breaks one.
+MATCH, PENALTY = 3, 4
+#: Score of the best stretch: matched letters times MATCH less edits times PENALTY.
+LEAST_SCORE = 80
 COLUMN_GAP = 100
 BLOCK_LETTERS = 4_000_000
 #: Letters that have no decomposition, and the letter they are read as.
@@ -182,7 +184,8 @@ def _align(items: Items, item: np.ndarray, low: np.ndarray, page: np.ndarray, be
     size = (items.start[item + 1] - items.start[item]).astype(np.int64)
     steps = int(size.max())
     one = np.int64(1 << 16)
-    across = np.arange(WIDTH, dtype=np.int64) * one
+    less = PENALTY * one
+    across = np.arange(WIDTH, dtype=np.int64) * less
     cur = np.full((len(item), WIDTH + 1), 0xFFFF, np.int64)
     best, best_to = np.zeros(len(item), np.int64), np.zeros(len(item), np.int64)
     for i in range(steps):
@@ -194,8 +197,8 @@ def _align(items: Items, item: np.ndarray, low: np.ndarray, page: np.ndarray, be
         fresh = np.int64(0xFFFF - i)
         # a cell's start is the item letter at which its score left zero
         prev = np.maximum(cur[:, :WIDTH], fresh)
-        step = np.where(same, prev + one, cur[:, :WIDTH] - one)
-        step = np.maximum(step, cur[:, 1:] - one)
+        step = np.where(same, prev + MATCH * one, cur[:, :WIDTH] - less)
+        step = np.maximum(step, cur[:, 1:] - less)
         step = np.maximum.accumulate(step + across, axis=1) - across
         step = np.where(step < one, np.int64(0xFFFF - i - 1), step)
         cur[:, :WIDTH] = np.where(live[:, None], step, 0)

@@ -70,3 +70,8 @@ class TrigramCost:
             n3, n2 = self.counts[cell(s[i : i + 3])], self.counts[cell("2" + s[i : i + 2] + "\x04")]
             total -= math.log((n3 + self.ALPHA / self.ALPHABET) / (n2 + self.ALPHA))
         return total
+
+    def support(self, word: str) -> float:
+        """Share of the word's trigrams that the column has at all."""
+        s = "\x02\x02" + word + "\x03"
+        return sum(self.counts[cell(s[i : i + 3])] > 0 for i in range(len(s) - 2)) / (len(s) - 2)
