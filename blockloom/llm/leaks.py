@@ -4,8 +4,8 @@ A page is read column by column (lines ordered by the clusters of their boxes' l
 kept, folded to lower case without accents, so that line ends, broken words, case and punctuation are no differences. With e edits a
 passage of L letters keeps at least L - Q + 1 - Q*e of its q-grams, all within diagonals that differ by at most e: hits of page and
 item q-grams are counted in overlapping bands of diagonals, bands with ``LEAST_HITS`` are retained (the bound for
-``LETTERS`` letters and ``EDITS`` edits), and each retained region is verified by a banded local alignment. A leak is a stretch of the item
-of at least ``MIN_WORDS`` words and ``LEAST_SCORE`` score.
+``LETTERS`` letters and ``EDITS`` edits), and each retained region is verified by a banded local alignment. Read back letter by letter, it tells which item words are there, misread letters
+allowed; a leak is a run of at least ``MIN_WORDS`` consecutive ones. Other words put in place of the item's end a run.
 
 The items are the stated query set: they go to the tasks in blocks of at most ``BLOCK_LETTERS`` letters, one pass over all pages a block.
 
@@ -32,12 +32,12 @@ LEAST_HITS = LETTERS - Q + 1 - Q * EDITS
 BAND_BITS = 4
 PAD = 24
 WIDTH = 96
-#: A passage of 12 words may lose the letters of its first or last word to misreading, one of 8 words may gain a word or two by chance.
-MIN_WORDS = 10
-#: An edit costs more than a matched letter gains, so that a passage does not grow into the unlike text beside it, but not so much that noise breaks one.
-MATCH, PENALTY = 3, 4
-#: Score of the best stretch: matched letters times MATCH less edits times PENALTY.
-LEAST_SCORE = 80
+#: Consecutive item words that make a leak.
+MIN_WORDS = 12
+#: Item words that the alignment must cover at all before its words are looked at one by one, and its least score (matched letters less edits).
+COVERED_WORDS, LEAST_SCORE = 8, 24
+#: A word is there if at most this share of its letters (or one letter) is edited; more letters than STRAY between two words part them.
+WORD_EDITS, STRAY = 0.4, 2
 COLUMN_GAP = 100
 BLOCK_LETTERS = 4_000_000
 #: Letters that have no decomposition, and the letter they are read as.
@@ -184,8 +184,7 @@ def _align(items: Items, item: np.ndarray, low: np.ndarray, page: np.ndarray, be
     size = (items.start[item + 1] - items.start[item]).astype(np.int64)
     steps = int(size.max())
     one = np.int64(1 << 16)
-    less = PENALTY * one
-    across = np.arange(WIDTH, dtype=np.int64) * less
+    across = np.arange(WIDTH, dtype=np.int64) * one
     cur = np.full((len(item), WIDTH + 1), 0xFFFF, np.int64)
     best, best_to = np.zeros(len(item), np.int64), np.zeros(len(item), np.int64)
     for i in range(steps):
@@ -197,8 +196,8 @@ def _align(items: Items, item: np.ndarray, low: np.ndarray, page: np.ndarray, be
         fresh = np.int64(0xFFFF - i)
         # a cell's start is the item letter at which its score left zero
         prev = np.maximum(cur[:, :WIDTH], fresh)
-        step = np.where(same, prev + MATCH * one, cur[:, :WIDTH] - less)
-        step = np.maximum(step, cur[:, 1:] - less)
+        step = np.where(same, prev + one, cur[:, :WIDTH] - one)
+        step = np.maximum(step, cur[:, 1:] - one)
         step = np.maximum.accumulate(step + across, axis=1) - across
         step = np.where(step < one, np.int64(0xFFFF - i - 1), step)
         cur[:, :WIDTH] = np.where(live[:, None], step, 0)
@@ -222,8 +221,54 @@ def _words(items: Items, item: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.n
     return out
 
 
+def _word_run(items: Items, item: int, low: int, page: np.ndarray) -> int:
+    """Longest run of consecutive item words found in ``page`` by the banded local alignment, read back letter by letter."""
+    s, e = items.start[item], items.start[item + 1]
+    letters, word = items.letters[s:e].astype(np.int64), items.word[s:e]
+    m, n = len(letters), len(page)
+    h = np.zeros((m + 1, WIDTH + 1), np.int64)
+    across = np.arange(WIDTH)
+    for i in range(m):
+        at = low + i + across
+        inside = (at >= 0) & (at < n)
+        same = inside & (page[np.where(inside, at, 0)] == letters[i])
+        step = np.maximum(np.where(same, h[i, :WIDTH] + 1, h[i, :WIDTH] - 1), h[i, 1:] - 1)
+        h[i + 1, :WIDTH] = np.maximum(np.maximum.accumulate(step + across) - across, 0)
+    i, w = np.unravel_index(int(h[:, :WIDTH].argmax()), (m + 1, WIDTH))
+    size = np.bincount(word)
+    edits, got, stray = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+    i, w = int(i), int(w)
+    while i > 0 and h[i, w] > 0:
+        at, k = low + i - 1 + w, word[i - 1]
+        same = 0 <= at < n and page[at] == letters[i - 1]
+        if h[i, w] == h[i - 1, w] + (1 if same else -1):
+            got[k] += 1
+            edits[k] += not same
+            i -= 1
+        elif h[i, w] == h[i - 1, w + 1] - 1:
+            got[k] += 1
+            edits[k] += 1
+            i, w = i - 1, w + 1
+        else:
+            # a page letter more: inside the word, or between it and the next
+            if i < m and word[i] != k:
+                stray[k] += 1
+            else:
+                edits[k] += 1
+            w -= 1
+    edits += size - got
+    there = (got > 0) & (edits <= np.maximum(1, (WORD_EDITS * size).astype(np.int64)))
+    best = run = 0
+    for k in range(len(size)):
+        run = run + 1 if there[k] else 0
+        best = max(best, run)
+        if stray[k] > STRAY:
+            run = 0
+    return best
+
+
 def find_in(items: Items, flat, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, item, words, score) of the best passage of each pair with a retained region."""
+    """(document, item, run of words, score) of the best passage of each pair with a region that may hold a leak."""
     code, doc = reading_order(flat, batch)
     letters = fold(code)
     kept = letters > 0
@@ -264,7 +309,10 @@ def find_in(items: Items, flat, batch: pa.RecordBatch) -> tuple[np.ndarray, np.n
     pair, low = pair[lead], (b[lead] << BAND_BITS) - shift - PAD
     d, item = pair // len(items.ids), pair % len(items.ids)
     score, a, e = (np.concatenate(x) for x in zip(*[_align(items, item[k : k + 128], low[k : k + 128], letters, begin[d[k : k + 128]], begin[d[k : k + 128] + 1]) for k in range(0, len(item), 128)]))
-    return d, item, _words(items, item, a, e), score
+    covered = _words(items, item, a, e)
+    near = np.flatnonzero((covered >= COVERED_WORDS) & (score >= LEAST_SCORE))
+    run = np.array([_word_run(items, int(item[k]), int(low[k]), letters[begin[d[k]] : begin[d[k] + 1]]) for k in near], np.int64)
+    return d[near], item[near], run, score[near]
 
 
 def _blocks(eval_items: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -294,8 +342,8 @@ def find_leaks(docs: DataFrame, eval_items: DataFrame, min_words: int = MIN_WORD
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             items = Items(block.value)
             for batch, flat in flats(batches, least=Q):
-                d, item, words, score = find_in(items, flat, batch)
-                good = (words >= min_words) & (score >= LEAST_SCORE)
+                d, item, words, _ = find_in(items, flat, batch)
+                good = words >= min_words
                 if good.any():
                     yield pa.record_batch(
                         {"doc_id": batch.column("doc_id").take(pa.array(d[good])), "item_id": pa.array(items.ids[item[good]]), "n_words": pa.array(words[good])}

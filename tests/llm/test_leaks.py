@@ -71,6 +71,22 @@ def test_planted(spark):
     assert set(got) & not_want == set()
 
 
+def test_other_words_end_a_run(spark):
+    """Passages with words put in the place of the item's are no leak unless twelve in a row are left."""
+    rng = random.Random(7)
+    items = [(k, " ".join(rng.sample(WORDS, 30))) for k in range(1, 11)]
+    rows, want = [], set()
+    for d in range(60):
+        k, every = rng.randint(1, 10), rng.choice([4, 6, 8, 14, 15])
+        words = [("zuqqox" if len(w) < 6 else "ypz") if (i + 1) % every == 0 else w for i, w in enumerate(items[k - 1][1].split())]
+        rows.append((d, " ".join(rng.choice(WORDS) for _ in range(30)) + "\n" + " ".join(words) + "\nend"))
+        if every > 12:
+            want.add((d, k))
+    docs, evals = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in leaks.find_leaks(docs, evals).collect()}
+    assert got == want
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([], f"doc_id bigint, text string, {BOX}")
     evals = spark.createDataFrame([], "item_id bigint, text string")
@@ -95,6 +111,6 @@ def test_alignment_against_plain():
         for i in range(1, len(item) + 1):
             for j in range(1, len(page) + 1):
                 if -48 <= j - i < 48:
-                    h[i, j] = max(0, h[i - 1, j - 1] + (leaks.MATCH if item[i - 1] == page[j - 1] else -leaks.PENALTY), h[i - 1, j] - leaks.PENALTY, h[i, j - 1] - leaks.PENALTY)
+                    h[i, j] = max(0, h[i - 1, j - 1] + (1 if item[i - 1] == page[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
                     best = max(best, h[i, j])
         assert score[0] == best and 0 <= a[0] < b[0] <= len(item)
