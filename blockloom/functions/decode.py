@@ -78,6 +78,11 @@ def human_duration(seconds: Column | str) -> Column:
     return F.format_string("%dh%02dm%02ds", F.floor(s / 3600).cast("bigint"), F.floor(s % 3600 / 60).cast("bigint"), s % 60)
 
 
+def seconds_since(start: Column | str) -> Column:
+    """Seconds from an epoch time to now."""
+    return F.unix_timestamp() - _col(start)
+
+
 def hex_text(value: Column | str) -> Column:
     return F.concat(F.lit("0x"), F.lower(F.hex(_col(value))))
 

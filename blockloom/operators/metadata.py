@@ -100,6 +100,8 @@ def inode(raw: DataFrame) -> DataFrame:
         D.has("i_flags", 0x1000).alias("index_fl"),
         D.flags("i_flags", layout.INODE_FLAGS).alias("inode_flags"),
         nothing.alias("zeroed"),
+        # a short target is kept in the block map itself
+        F.when((kind == "symlink") & (F.col("i_blocks_lo") == 0), D.c_string(F.col("i_block"))).alias("symlink_target"),
         # contents that this engine does not interpret are told, not misread
         (D.has("i_flags", 0x4) | D.has("i_flags", 0x800) | D.has("i_flags", 0x10000000)).alias("unsupported"),
     )
@@ -121,7 +123,8 @@ def group_usage(units: DataFrame) -> DataFrame:
 def islands(units: DataFrame, number: str, entity: str = "image_id", group: str = "group_number") -> DataFrame:
     """(entity, range_start, range_end, n): maximal runs of consecutive numbers.
 
-    Runs form inside groups first; only each group's runs, not its numbers, meet across groups.
+    Groups hold ascending ranges of numbers of bounded size. Runs form inside groups; only the first and last run of each group can go on in another
+    group, so at most two rows a group meet in the window of an entity, however many runs it has.
     """
     inner = Window.partitionBy(entity, group).orderBy(number)
     runs = (
@@ -129,9 +132,13 @@ def islands(units: DataFrame, number: str, entity: str = "image_id", group: str
         .groupBy(entity, group, "_g")
         .agg(F.min(number).alias("a"), F.max(number).alias("b"))
     )
+    whole = Window.partitionBy(entity, group)
+    marked = runs.withColumn("_edge", (F.col("a") == F.min("a").over(whole)) | (F.col("b") == F.max("b").over(whole)))
     across = Window.partitionBy(entity).orderBy("a")
-    joined = runs.withColumn("_new", F.coalesce(F.col("a") - F.lag("b").over(across) > 1, F.lit(True)).cast("int")).withColumn("_i", F.sum("_new").over(across))
-    return joined.groupBy(entity, "_i").agg(F.min("a").alias("range_start"), F.max("b").alias("range_end"), F.sum(F.col("b") - F.col("a") + 1).alias("n")).drop("_i")
+    edges = marked.where("_edge").withColumn("_new", F.coalesce(F.col("a") - F.lag("b").over(across) > 1, F.lit(True)).cast("int")).withColumn("_i", F.sum("_new").over(across))
+    joined = edges.groupBy(entity, "_i").agg(F.min("a").alias("range_start"), F.max("b").alias("range_end")).drop("_i")
+    out = joined.unionByName(marked.where(~F.col("_edge")).select(entity, F.col("a").alias("range_start"), F.col("b").alias("range_end")))
+    return out.withColumn("n", F.col("range_end") - F.col("range_start") + 1)
 
 
 def free_ranges(blocks: DataFrame) -> DataFrame:

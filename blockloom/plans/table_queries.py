@@ -80,7 +80,7 @@ def uuid_format(spark: SparkSession, d: str) -> DataFrame:
 
 def human_duration(spark: SparkSession, d: str) -> DataFrame:
     rows = _inodes(spark, d, "i_atime", "i_mtime")
-    return rows.select("image_id", "inode_number", D.human_duration(F.col("i_atime") - F.col("i_mtime") + 90_000).alias("since"), F.timestamp_seconds("i_mtime").cast("date").alias("m_day"))
+    return rows.select("image_id", "inode_number", D.human_duration(F.col("i_atime") - F.col("i_mtime") + 90_000).alias("since"), F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("i_mtime") / 86400).cast("int")).alias("m_day"))
 
 
 def live_entries(spark: SparkSession, d: str) -> DataFrame:

@@ -74,6 +74,11 @@ def test_catalog(image_set, images):
         assert perm["setuid"] and perm["user"]["execute"] and not perm["group"]["write"] and perm["other"]["execute"]
 
 
+def test_symlinks(image_set):
+    links = image_set.inode.where("allocated and file_type = 'symlink'").collect()
+    assert len(links) == 8 and {r["symlink_target"] for r in links} == {"512byte.txt"}
+
+
 def test_order(image_set):
     """All entries of a directory before those of its subdirectories, depth first."""
     rows = image_set.entry.where("image_id = 'ext4_1024.fs'").orderBy("obj_id").collect()
