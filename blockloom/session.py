@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,20 @@ def get_spark(app: str = "blockloom", cpus: int | str = "*", shuffle_partitions:
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers, once a session; they need not have it on their path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_blockloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="blockloom-code-")) / "blockloom_code.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(target))
+    sc._blockloom_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where none is set."""
     set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -70,5 +86,6 @@ def release(spark: SparkSession) -> None:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """One table of a data folder, only ``columns`` if any are given."""
+    ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
 from blockloom.functions import layout
+from blockloom.session import ship
 
 SCHEMAS = {
     "superblock": "image_id string, image_path string, raw binary",
@@ -260,6 +261,7 @@ class ExtImageSource(DataSource):
 
 
 def read_image(spark: SparkSession, path: str, table: str, master_offset: int = 0, magic_ignore: bool = False) -> DataFrame:
+    ship(spark)
     spark.dataSource.register(ExtImageSource)
     prune = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
     reader = spark.read.format("extimage").option("path", path).option("table", table).option("pushdown", prune)
