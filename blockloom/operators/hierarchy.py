@@ -104,25 +104,16 @@ def resolve(links: DataFrame) -> DataFrame:
 
     ``path`` of an unreached node is null. ``root`` is the path of the root (empty for the root directory).
     """
-    seg = cut(links.select(*KEY, "parent", F.col("parent").alias("top"), F.concat(F.lit("/"), "label").alias("seg"), "base", F.lit(1).alias("depth")))
+    named = links.select("tree", "image_id", F.col("node").alias("parent"), F.lit(True).alias("_named"))
+    base = F.coalesce("base", F.when(F.col("_named").isNull(), _hash_root(F.col("parent"))))
+    rooted = links.join(named, ["tree", "image_id", "parent"], "left").withColumn("base", base)
+    seg = cut(rooted.select(*KEY, "parent", F.col("parent").alias("top"), F.concat(F.lit("/"), "label").alias("seg"), "base", F.lit(1).alias("depth")))
     for _ in range(STRIDE_ROUNDS):
-        upper = seg.select(
-            "tree", "image_id", F.col("node").alias("top"), F.col("top").alias("_top"), F.col("seg").alias("_seg"), F.col("base").alias("_base"), F.col("depth").alias("_depth"), F.lit(True).alias("_hit")
-        )
-        moving = F.col("base").isNull()
-        hit = F.coalesce(F.col("_hit"), F.lit(False))
-        joined = seg.where(moving).join(upper, ["tree", "image_id", "top"], "left")
-        seg = seg.where(~moving).unionByName(
-            joined.select(
-                *KEY,
-                "parent",
-                F.when(hit, F.col("_top")).otherwise(F.col("top")).alias("top"),
-                F.when(hit, F.concat("_seg", "seg")).otherwise(F.col("seg")).alias("seg"),
-                F.when(hit, F.col("_base")).otherwise(_hash_root(F.col("top"))).alias("base"),
-                (F.col("depth") + F.when(hit, F.col("_depth")).otherwise(0)).alias("depth"),
-            )
-        )
-        seg = cut(seg)
+        # the top of a row without a base is a node, so every such row finds its upper one
+        upper = seg.select("tree", "image_id", F.col("node").alias("top"), F.col("top").alias("_top"), F.col("seg").alias("_seg"), F.col("base").alias("_base"), F.col("depth").alias("_depth"))
+        joined = seg.where("base is null").join(upper, ["tree", "image_id", "top"])
+        longer = joined.select(*KEY, "parent", F.col("_top").alias("top"), F.concat("_seg", "seg").alias("seg"), F.col("_base").alias("base"), (F.col("depth") + F.col("_depth")).alias("depth"))
+        seg = cut(seg.where("base is not null").unionByName(longer))
     done = [seg.where("base is not null").select(*KEY, F.concat("base", "seg").alias("path"), "depth", F.col("base").alias("root"))]
     frontier, rest = done[0], seg.where("base is null").drop("base")
     left = rest.count()

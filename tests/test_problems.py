@@ -109,16 +109,22 @@ def test_paths(spark, seed):
         nodes = list(range(11, 111))
         for n in nodes:
             k += 1
-            parent = rng.choice([2, 2, n + 1, n - 1, rng.choice(nodes), 500 + rng.randint(0, 3)])
+            parent = rng.choice([2, 2, n + 1, n - 1, rng.choice(nodes), 600 + rng.randint(0, 3)])
             kind = rng.choice(["directory"] * 5 + ["file", "unknown", None])
             entries.append((k, img, parent, n, kind, rng.choice([None, f"d{n}", f"d{n}", "é x"]), T(0), T(0), ""))
         for n in range(200, 320):  # a chain longer than several strides
             k += 1
             entries.append((k, img, n - 1 if n > 200 else 2, n, "directory", f"c{n}", T(0), T(0), ""))
+        for n in range(400, 450):  # the same under a directory without a known parent, and below a loop
+            k += 1
+            entries.append((k, img, n - 1 if n > 400 else 900, n, "directory", f"u{n}", T(0), T(0), ""))
+        for n in range(2000, 2050):
+            k += 1
+            entries.append((k, img, n - 1 if n > 2000 else 2003, n, "directory", None, T(0), T(0), ""))
         entries.append(entries[-1])
         entries += [(k + 1, img, 2, 0, "file", "gone", T(0), T(0), ""), (k + 2, img, 2, 2, "directory", ".", T(0), T(0), ""), (k + 3, img, None, 777, "file", "lost", T(0), T(0), "")]
         k += 3
-    roots = [(1, "a", 500, 500, 2, T(0), T(0)), (2, "a", 501, 501, 502, T(0), T(0)), (3, "a", 502, None, 501, T(0), T(0)), (4, "b", 503, 9, None, T(0), T(0))]
+    roots = [(1, "a", 600, 600, 2, T(0), T(0)), (2, "a", 601, 601, 602, T(0), T(0)), (3, "a", 602, None, 601, T(0), T(0)), (4, "b", 603, 9, None, T(0), T(0))]
     idx = [(1, "a", 40, 0, 100, 0), (2, "a", 40, 100, 101, 0), (3, "a", 40, 101, 102, 1), (4, "b", 41, 900, 901, 0), (5, "b", 41, 903, 902, 0), (6, "b", 41, 902, 903, 0), (7, "b", 41, 903, 904, 0), (7, "b", 41, 903, 904, 0)]
     d, x, i = spark.createDataFrame(entries, DIRENT), spark.createDataFrame(roots, DX), spark.createDataFrame(idx, IDX)
     got = set(map(tuple, hierarchy.paths(d, x, i).collect()))
