@@ -104,12 +104,12 @@ _RUNS = """
 WITH ext AS (
   SELECT DISTINCT image_id, inode_number, ee_block AS s, ee_start_hi * 4294967296 + ee_start_lo AS p, CASE WHEN ee_len > 32768 THEN ee_len - 32768 ELSE ee_len END AS n
   FROM extent WHERE ee_len > 0),
-log0 AS (SELECT *, max(s + n) OVER w AS before FROM ext WHERE s IS NOT NULL
+log0 AS (SELECT *, max(s + n) OVER w AS before FROM (SELECT DISTINCT image_id, inode_number, s, n FROM ext WHERE s IS NOT NULL)
   WINDOW w AS (PARTITION BY image_id, inode_number ORDER BY s, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 log1 AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, inode_number ORDER BY s, n ROWS UNBOUNDED PRECEDING) AS g FROM log0),
 runs AS (SELECT image_id, inode_number, min(s) AS a, max(s + n) AS b FROM log1 GROUP BY image_id, inode_number, g),
 gaps AS (SELECT image_id, inode_number, lag(b) OVER (PARTITION BY image_id, inode_number ORDER BY a) AS a, a AS b FROM runs),
-phy0 AS (SELECT *, max(p + n) OVER w AS before FROM ext WHERE p IS NOT NULL
+phy0 AS (SELECT *, max(p + n) OVER w AS before FROM (SELECT DISTINCT image_id, inode_number, p, n FROM ext WHERE p IS NOT NULL)
   WINDOW w AS (PARTITION BY image_id, inode_number ORDER BY p, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 phy1 AS (SELECT *, sum(CASE WHEN before IS NULL OR p > before THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, inode_number ORDER BY p, n ROWS UNBOUNDED PRECEDING) AS g FROM phy0),
 own AS (SELECT image_id, inode_number, min(p) AS a, max(p + n) AS b FROM phy1 GROUP BY image_id, inode_number, g),
