@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,50 @@ from blockloom.session import cut
 from blockloom.sources.extimage import read_image
 
 
+class FileHandle(io.RawIOBase):
+    """A seekable, read-only file over range reads; wrap it in ``io.BufferedReader`` for small reads."""
+
+    def __init__(self, images: ImageSet, path: str, image_id: str | None = None):
+        super().__init__()
+        self._images, self._path, self._id, self._at = images, path, image_id, 0
+        if not images.is_file(path, image_id):
+            raise RuntimeError(f"{path} is no regular file")
+        self.name, self.length = path, images.get_file_size(path, image_id)
+
+    def __len__(self) -> int:
+        return self.length
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self._at
+
+    def seek(self, offset: int, whence: int = 0) -> int:
+        at = offset + (0, self._at, self.length)[whence]
+        if at < 0:
+            raise ValueError("negative position")
+        self._at = at
+        return at
+
+    def read(self, count: int | None = -1) -> bytes:
+        if count is not None and count < -1:
+            raise ValueError("count must not be below -1")
+        left = max(0, self.length - self._at)
+        n = left if count is None or count == -1 else min(count, left)
+        data = self._images.read_range(self._path, self._at, n, self._id) if n else b""
+        self._at += len(data)
+        return data
+
+    def readinto(self, buffer) -> int:
+        data = self.read(len(buffer))
+        buffer[: len(data)] = data
+        return len(data)
+
+
 class ImageSet:
     """Every attribute is a DataFrame over all images; lookups by path take ``image_id`` if there are several images.
 
@@ -217,6 +262,9 @@ class ImageSet:
         row = FL.range_read(one, FL.file_part(one, self.runs), offset, count, self.offset).first()
         return bytes(row["content"])
 
+    def handle(self, path: str, image_id: str | None = None) -> FileHandle:
+        return FileHandle(self, path, image_id)
+
     def hexdump_block(self, number: int) -> DataFrame:
         return self.raw_block.where(F.col("block_number") == number).select("image_id", F.lower(F.hex("content")).alias("hex"))
 

@@ -144,6 +144,40 @@ def test_lookups(image_set, spark, images):
         one.open("/sub")
 
 
+def test_handle(spark, images):
+    one = ImageSet(spark, str(images[0] / "ext4_4096.fs"))
+    want = (images[1] / "long.bin").read_bytes()
+    with one.handle("/long.bin") as h:
+        assert len(h) == 700_000 and h.seek(-10, 2) == 699_990 and h.read() == want[-10:] and h.read(5) == b""
+        assert h.seek(4090) == 4090 and h.read(20) == want[4090:4110] and h.tell() == 4110
+        assert h.seek(10, 1) == 4120 and h.read(3) == want[4120:4123]
+        with pytest.raises(ValueError):
+            h.seek(-1)
+        with pytest.raises(ValueError):
+            h.read(-2)
+
+
+def test_written_images(spark, tmp_path):
+    """Images of the writer: fragmented extent trees of depth 1, indirect and double indirect maps, several groups, empty files."""
+    import random
+
+    from blockloom.sources.imagewriter import write_images
+
+    rng = random.Random(1)
+    sizes = [0, 1, 1023, 1024, 1025, 12 * 1024, 13 * 1024, 300_000, 300_001, 700_000, 900_000, 0, 2_000_000, 2_000_000, 5000, 6_000_000, 6_000_000]
+    rows = [(k, ("a", "b", "c")[k % 3], f"{k}.bin", bytearray(rng.randbytes(n))) for k, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "key bigint, dir string, name string, content binary")
+    made = write_images(df, str(tmp_path / "out"), 30_000_000).collect()
+    assert sum(r["n_files"] for r in made) == len(rows)
+    s = ImageSet(spark, str(tmp_path / "out"))
+    got = {r["full_path"]: bytes(r["content"]) for r in s.file_content.collect()}
+    assert got == {f"/{d}/{n}": bytes(c) for _, d, n, c in rows}
+    leaves = {r["depth"]: r["count"] for r in s.extent.groupBy("node_block").count().selectExpr("node_block > 0 as depth", "count").groupBy("depth").count().collect()}
+    assert leaves.get(True, 0) > 1
+    free = s.group_usage.join(s.group_desc.select("image_id", "group_number", "free_blocks"), ["image_id", "group_number"])
+    assert free.count() > 2 and free.where("unallocated <> free_blocks").count() == 0
+
+
 def test_offset_and_magic(spark, images, tmp_path):
     raw = (images[0] / "ext2_1024.fs").read_bytes()
     (tmp_path / "shifted.fs").write_bytes(b"\xff" * 1048576 + raw)
