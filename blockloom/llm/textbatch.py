@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Code points worked on at once; a longer text is one batch of its own.
 FLAT_CHARS = 1 << 20
+#: Rows made Python strings at once.
+ROWS = 1024
 BASES = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -75,17 +77,19 @@ class Flat:
 
 def flats(batches: Iterator[pa.RecordBatch], chars: int = FLAT_CHARS, least: int = 0) -> Iterator[tuple[pa.RecordBatch, Flat]]:
     """Slices of the batches with their texts (column ``text``) flattened; null and texts shorter than ``least`` are left out."""
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        took: list[int] = []
-        size = 0
-        for i, t in enumerate(texts):
-            if t is None or len(t) < least:
-                continue
-            if took and size + len(t) > chars:
+    for whole in batches:
+        for at in range(0, whole.num_rows, ROWS):  # texts become Python strings a few rows at a time
+            batch = whole.slice(at, ROWS)
+            texts = batch.column("text").to_pylist()
+            took: list[int] = []
+            size = 0
+            for i, t in enumerate(texts):
+                if t is None or len(t) < least:
+                    continue
+                if took and size + len(t) > chars:
+                    yield batch.take(pa.array(took)), Flat([texts[k] for k in took])
+                    took, size = [], 0
+                took.append(i)
+                size += len(t)
+            if took:
                 yield batch.take(pa.array(took)), Flat([texts[k] for k in took])
-                took, size = [], 0
-            took.append(i)
-            size += len(t)
-        if took:
-            yield batch.take(pa.array(took)), Flat([texts[k] for k in took])
