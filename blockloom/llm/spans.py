@@ -2,14 +2,14 @@
 
 A window is ``length`` code points. Equal windows have equal *anchors*, an anchor being the smallest hash among the window's ``GRAM``-grams,
 so windows are counted by anchor: consecutive windows with one anchor form a *segment*, and a corpus has about one segment per hundred code
-points. First pass: every task counts its anchors in a count-min sketch; the sketches are merged chunk by chunk (saturating at
-2). A sketch never underestimates, so a second pass keeps every segment whose anchor is estimated repeated and groups those exactly:
+points. One pass over the texts writes the segments' hashes and places, no texts. Their anchors are counted in a count-min sketch of ``DEPTH`` rows, ``CELLS`` cells a segment,
+counted in parts and merged by cell. A sketch never underestimates, so all segments whose anchor is estimated repeated are kept, and those are grouped exactly:
 
 * equal segments (128-bit hash of all their text) of two documents share all their windows;
-* anchors with several different segments are compared window by window, one representative per different segment.
+* anchors with several different segments are compared window by window, one representative per different segment, whose text is fetched for this.
 
-Sketch width follows the counted text up to ``SKETCH_BITS``; beyond that the estimate grows and more segments reach the exact pass, none is lost.
-Anchors with more than ``HOT_VARIANTS`` different segments are compared by a distributed grouping of their windows instead of in one task.
+The sketch's width follows the corpus, so the share that passes by chance (about 1 in ``CELLS`` after the first row, its square after the second) is the same at any size.
+Anchors with more than ``HOT_VARIANTS`` different segments are compared by a distributed grouping of their windows instead of in one task; the result is the same.
 
 Defined results: null, empty and shorter texts have no span. A repeated id counts once. Windows repeated only inside one document are not
 shared. Overlapping or touching windows make one span. Empty tables give no rows.
@@ -17,22 +17,20 @@ shared. Overlapping or touching windows make one span. Empty tables give no rows
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockloom.llm.textbatch import Flat, flats, mix, unique_docs
+from blockloom.llm.textbatch import Flat, flats, unique_docs
 from blockloom.session import cut
 
 LENGTH = 320
 GRAM = 64
-SKETCH_BITS = 25
-DEPTH = 2
-CHUNK_BITS = 17
+#: Cells of a sketch row per segment (up to twice as many, for the width is a power of two), and rows.
+CELLS, DEPTH = 16, 2
 HOT_VARIANTS = 5_000
 
 
@@ -66,79 +64,19 @@ def segments(flat: Flat, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
     return least[at][good], doc[at][good], at[good], count[good]
 
 
-def _cells(anchor: np.ndarray, bits: int) -> list[np.ndarray]:
-    salts = (np.uint64(0), np.uint64(0xA5A5A5A5A5A5A5A5))
-    return [(mix(anchor ^ salts[k]) >> np.uint64(64 - bits)).astype(np.int64) for k in range(DEPTH)]
+def segment_table(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(anchor, doc_id, start, n, h1, h2, fresh) of all segments, without their texts; ``fresh``: the anchor's first one in its document."""
 
-
-def _count(table: np.ndarray, cells: np.ndarray) -> None:
-    """Add 1 to each named cell, saturating at 2."""
-    cells = np.sort(cells)
-    first = np.ones(len(cells), bool)
-    first[1:] = cells[1:] != cells[:-1]
-    again = ~first
-    once = cells[first]
-    table[once] = np.minimum(table[once] + 1, 2)
-    table[cells[again]] = 2
-
-
-def sketch(docs: DataFrame, bits: int, length: int = LENGTH) -> list[bytes]:
-    """The merged count-min sketch, one bytes object (a byte a cell) per row of the sketch."""
-    width, chunk = 1 << bits, min(CHUNK_BITS, bits)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [np.zeros(width, np.uint8) for _ in range(DEPTH)]
-        for _, flat in flats(batches, least=length):
-            anchor, doc, _, _ = segments(flat, length)
-            order = np.lexsort((anchor, doc))
-            a, d = anchor[order], doc[order]
-            keep = np.ones(len(a), bool)
-            keep[1:] = (a[1:] != a[:-1]) | (d[1:] != d[:-1])  # once a document
-            for k, cells in enumerate(_cells(a[keep], bits)):
-                _count(rows[k], cells)
-        for k, row in enumerate(rows):
-            for c, part in enumerate(row.reshape(-1, 1 << chunk)):
-                if part.any():
-                    yield pa.record_batch({"part": pa.array([k << 32 | c]), "cells": pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())})
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for p, cells in zip(batch.column("part").to_pylist(), batch.column("cells").to_pylist()):
-                more = np.frombuffer(zlib.decompress(cells), np.uint8)
-                sums[p] = np.minimum(sums[p] + more, 2) if p in sums else more
-        for p, cells in sums.items():
-            yield pa.record_batch({"part": pa.array([p]), "cells": pa.array([zlib.compress(cells.tobytes(), 1)], pa.binary())})
-
-    parts = docs.select("text").mapInArrow(count, "part bigint, cells binary")
-    merged = parts.repartition("part").mapInArrow(merge, "part bigint, cells binary")
-    out = [np.zeros(width, np.uint8) for _ in range(DEPTH)]
-    for r in merged.toLocalIterator():  # at most DEPTH * 2^(SKETCH_BITS - CHUNK_BITS) rows, whatever the corpus
-        k, c = r.part >> 32, r.part & 0xFFFFFFFF
-        out[k][c << chunk : (c + 1) << chunk] = np.frombuffer(zlib.decompress(r.cells), np.uint8)
-    return [np.packbits(row >= 2).tobytes() for row in out]
-
-
-def repeated_segments(docs: DataFrame, length: int = LENGTH, bits: int | None = None) -> DataFrame:
-    """Second pass: (anchor, doc_id, start, n, h1, h2, body) of the segments whose anchor is estimated repeated."""
-    if bits is None:
-        chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-        bits = min(SKETCH_BITS, max(16, int(chars // 25).bit_length()))
-    flags = docs.sparkSession.sparkContext.broadcast(sketch(docs, bits, length))
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [np.frombuffer(b, np.uint8) for b in flags.value]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, flat in flats(batches, least=length):
             anchor, doc, at, n = segments(flat, length)
-            may = np.ones(len(anchor), bool)
-            for row, cells in zip(rows, _cells(anchor, bits)):
-                may &= ((row[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1).astype(bool)
-            anchor, doc, at, n = anchor[may], doc[may], at[may], n[may]
             if not len(at):
                 continue
             size = n + length - 1
-            raw = flat.code.astype("<u4")
-            body = [raw[a : a + s].tobytes().decode("utf-32-le", "surrogatepass") for a, s in zip(at.tolist(), size.tolist())]
+            order = np.lexsort((anchor, doc))
+            a, d = anchor[order], doc[order]
+            fresh = np.empty(len(a), bool)
+            fresh[order] = np.append(True, (a[1:] != a[:-1]) | (d[1:] != d[:-1]))
             yield pa.record_batch(
                 {
                     "anchor": pa.array(anchor.view(np.int64)),
@@ -147,11 +85,51 @@ def repeated_segments(docs: DataFrame, length: int = LENGTH, bits: int | None =
                     "n": pa.array(n),
                     "h1": pa.array(flat.hashes(at, size, 0).view(np.int64)),
                     "h2": pa.array(flat.hashes(at, size, 1).view(np.int64)),
-                    "body": pa.array(body, pa.string()),
+                    "fresh": pa.array(fresh),
                 }
             )
 
-    return docs.select("doc_id", "text").mapInArrow(keep, "anchor bigint, doc_id bigint, start bigint, n bigint, h1 bigint, h2 bigint, body string")
+    return docs.select("doc_id", "text").mapInArrow(run, "anchor bigint, doc_id bigint, start bigint, n bigint, h1 bigint, h2 bigint, fresh boolean")
+
+
+def _cell(row: int, bits: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64("anchor", F.lit(row)), 64 - bits)
+
+
+def estimated_repeated(seg: DataFrame, bits: int | None = None) -> DataFrame:
+    """The segments whose anchor the count-min sketch estimates to stand in two documents.
+
+    A row of the sketch is a count per cell: each task counts its own part (the map side of the aggregation), the parts are merged by cell. Cells live where their hash puts them, so
+    the sketch is as wide as the corpus asks for (``CELLS`` cells a segment) and no one holds it whole; segments meet their cells by a semi join. The second row counts what the
+    first one lets pass, which still never underestimates: all segments of a repeated anchor have passed.
+    """
+    if bits is None:
+        bits = max(16, (CELLS * seg.count()).bit_length())
+    for row in range(DEPTH):
+        cell = _cell(row, bits).alias("_cell")
+        twice = seg.where("fresh").groupBy(cell).agg(F.count("*").alias("_n")).where("_n > 1").select("_cell")
+        seg = cut(seg.withColumn("_cell", cell).join(twice, "_cell", "left_semi").drop("_cell"))
+    return seg
+
+
+def fetch_bodies(docs: DataFrame, variants: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``variants`` (with the document and start of one of their places) with their texts: one text a variant, not one a place."""
+    wanted = variants.groupBy("doc_id").agg(F.collect_list(F.struct("start", "anchor", "h1", "h2", "n", "lo", "hi", "_k")).alias("w"))
+    fields = ("anchor", "h1", "h2", "n", "lo", "hi", "_k")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                b = batch.slice(at, 256)
+                lists = pa.concat_arrays([b.column("w")])
+                inner, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
+                start, n = inner.field("start").to_numpy(), inner.field("n").to_numpy()
+                texts = np.repeat(np.arange(b.num_rows), sizes).tolist()
+                text = b.column("text").to_pylist()
+                body = [text[k][s : s + m + length - 1] for k, s, m in zip(texts, start.tolist(), n.tolist())]
+                yield pa.record_batch({f: inner.field(f) for f in fields} | {"body": pa.array(body, pa.string())})
+
+    return docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(run, ", ".join(f"`{f}` bigint" for f in fields) + ", body string")
 
 
 def _window_keys(bodies: list[str], n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -244,19 +222,23 @@ def _compare_hot(hot: DataFrame, length: int) -> DataFrame:
 def shared_spans(docs: DataFrame, length: int = LENGTH, bits: int | None = None, hot_variants: int = HOT_VARIANTS) -> DataFrame:
     """(doc_id, span_start, span_end): the union of all windows that also stand in another document."""
     docs = unique_docs(docs.select("doc_id", "text"))
-    seg = cut(repeated_segments(docs, length, bits))
+    seg = estimated_repeated(cut(segment_table(docs, length)), bits)
     variant = ["anchor", "h1", "h2", "n"]
-    places = seg.groupBy("anchor").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a <> _b").select("anchor")
-    kinds = cut(seg.join(places, "anchor", "left_semi").groupBy(*variant).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("body").alias("body")))
-    per_anchor = kinds.groupBy("anchor").agg(F.count("*").alias("_k"), F.max((F.col("lo") == F.col("hi")).cast("int")).alias("_alone"))
+    kinds = cut(seg.groupBy(*variant).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min(F.struct("doc_id", "start")).alias("p")))
+    per_anchor = (
+        kinds.groupBy("anchor")
+        .agg(F.count("*").alias("_k"), F.max((F.col("lo") == F.col("hi")).cast("int")).alias("_alone"), F.min("lo").alias("_a"), F.max("hi").alias("_b"))
+        .where("_a <> _b and _k > 1 and _alone = 1")
+        .select("anchor", "_k")
+    )
     whole = kinds.where("lo <> hi").select(*variant, F.lit(0).cast("long").alias("first"), (F.col("n") - 1).alias("last"))
-    several = kinds.join(per_anchor.where("_k > 1 and _alone = 1"), "anchor")
-    cool = several.where(F.col("_k") <= hot_variants).select(*variant, "lo", "hi", "body")
+    several = cut(fetch_bodies(docs, kinds.join(per_anchor, "anchor").select(*variant, "lo", "hi", "_k", "p.doc_id", "p.start"), length))
+    cool = several.where(F.col("_k") <= hot_variants).drop("_k")
     compared = cool.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(length), _SHARED)
-    hot = several.where(F.col("_k") > hot_variants).select(*variant, "lo", "hi", "body")
+    hot = several.where(F.col("_k") > hot_variants).drop("_k")
     # windows of variants that stand in two documents are in ``whole`` already; a second listing changes no union
     shared = whole.unionByName(compared)
-    if not per_anchor.where(F.col("_k") > hot_variants).isEmpty():
+    if not hot.isEmpty():
         shared = shared.unionByName(_compare_hot(hot, length))
     spans = seg.select(*variant, "doc_id", "start").join(shared, variant).select(
         "doc_id", (F.col("start") + F.col("first")).alias("s"), (F.col("start") + F.col("last") + length).alias("e")

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from blockloom.llm import spans
 
@@ -65,6 +66,24 @@ def test_prefilter_never_loses(spark):
     assert narrow == wide == _brute(rows, 320)
 
 
+def test_prefilter_share_does_not_grow(spark):
+    """At any size about 1 segment in CELLS passes by chance, and every repeated one passes."""
+    rng = random.Random(12)
+    copy = "".join(rng.choice("abcdefgh ") for _ in range(700))
+    for n in (20, 200, 1500):
+        rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(900)) + (copy if i % 50 == 0 else "")) for i in range(n)]
+        seg = spans.cut(spans.segment_table(spark.createDataFrame(rows, "doc_id bigint, text string")))
+        kept = spans.estimated_repeated(seg)
+        repeated = seg.groupBy("anchor").agg(F.countDistinct("doc_id").alias("k")).where("k > 1").select("anchor")
+        true = seg.join(repeated, "anchor", "left_semi")
+        assert true.join(kept, ["anchor", "doc_id", "start"], "left_anti").count() == 0
+        by_chance = kept.count() - true.count()
+        assert by_chance <= 0.02 * seg.count()
+        # a sketch seven times too narrow for its corpus passes most segments in vain
+        crowded = spans.estimated_repeated(seg, max(1, (seg.count() // 7).bit_length() - 1))
+        assert crowded.count() > 0.9 * seg.count() and true.join(crowded, ["anchor", "doc_id", "start"], "left_anti").count() == 0
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert spans.shared_spans(empty).count() == 0
