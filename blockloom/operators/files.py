@@ -193,13 +193,13 @@ def entry(inodes: DataFrame, dirents: DataFrame) -> DataFrame:
     )
     full = live.join(props, ["image_id", "inode"]).withColumn("label", label).withColumn("file_type_str", F.coalesce("file_type_str", "mode_type"))
 
-    def links(text: Column) -> DataFrame:
-        up = full.where("file_type_str = 'directory'").groupBy("image_id", F.col("inode").alias("node")).agg(F.min_by(F.struct("dir_inode", text.alias("label")), F.struct("dir_inode", "ordinal")).alias("u"))
-        return up.select(F.lit("dir").alias("tree"), "image_id", "node", F.col("u.dir_inode").alias("parent"), F.col("u.label").alias("label"), F.when(F.col("u.dir_inode") == layout.ROOT_INODE, F.lit("")).alias("base"))
-
-    where = hierarchy.resolve(links(F.col("label"))).where("path is not null and root = ''").select("image_id", F.col("node").alias("dir_inode"), F.col("path").alias("parent_path"))
-    order = hierarchy.resolve(links(F.lpad(F.col("ordinal").cast("string"), 16, "0"))).where("path is not null and root = ''").select("image_id", F.col("node").alias("dir_inode"), F.col("path").alias("_dir"))
-    known = full.join(where.join(order, ["image_id", "dir_inode"]), ["image_id", "dir_inode"], "left")
+    up = full.where("file_type_str = 'directory'").groupBy("image_id", F.col("inode").alias("node")).agg(F.min_by(F.struct("dir_inode", "label", "ordinal"), F.struct("dir_inode", "ordinal")).alias("u"))
+    links = up.select(
+        F.lit("dir").alias("tree"), "image_id", "node", F.col("u.dir_inode").alias("parent"), F.col("u.label").alias("label"), F.lpad(F.col("u.ordinal").cast("string"), 16, "0").alias("order"),
+        F.when(F.col("u.dir_inode") == layout.ROOT_INODE, F.lit("")).alias("base"),
+    )
+    where = hierarchy.resolve(links, order=True).where("path is not null and root = ''")
+    known = full.join(where.select("image_id", F.col("node").alias("dir_inode"), F.col("path").alias("parent_path"), F.col("order_path").alias("_dir")), ["image_id", "dir_inode"], "left")
     top = F.col("dir_inode") == layout.ROOT_INODE
     placed = known.withColumn("parent_path", F.when(top, "").otherwise(F.col("parent_path"))).withColumn("_dir", F.when(top, "").otherwise(F.col("_dir"))).where("parent_path is not null")
     done = _numbered(placed.withColumn("full_path", F.concat("parent_path", F.lit("/"), "label")))

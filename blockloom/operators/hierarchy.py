@@ -3,10 +3,10 @@
 A *link* frame has one row per node that may be a parent: ``tree, image_id, node, parent, label, base``.
 ``base`` is the path of the root when the parent is a root (its node is not part of the tree), else null.
 
-Paths grow level by level from the roots. To keep the number of joins small for deep trees each node first learns the
-labels of up to ``STRIDE`` levels above it (``log2(STRIDE)`` self joins); a frontier join then extends paths by up to
-``STRIDE`` levels at once. Nodes that no frontier reaches lie on a cycle or below one; for these alone the cycle
-and its smallest node come from pointer doubling over the unreached rows. Every step is a key join whose lineage is cut
+Paths grow from the roots in frontier joins: what hangs on the frontier of the round before gets its path, and so does what hangs on that. Only the nodes still without one then learn
+the labels of twice as many levels above them (a join with themselves), so that the next frontier join reaches twice as far: a tree of depth d takes about log2(d) rounds, and each round
+is one written table. Every node below a root is reached by a frontier; those that no frontier reaches lie on a cycle or below one, and for these alone the cycle
+and its smallest node come from pointer doubling. Every step is a key join whose lineage is cut
 in the shared folder; no step gathers rows of a tree, an image or a directory.
 
 Defined results: a node claimed by several parents keeps the smallest (parent, label) for the way up of what lies below it, while every
@@ -16,13 +16,11 @@ its own. Empty tables give no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from blockloom.session import cut
 
-STRIDE_ROUNDS = 4
-STRIDE = 1 << STRIDE_ROUNDS
 KEY = ("tree", "image_id", "node")
 ROOT_INODE = 2
 
@@ -99,45 +97,59 @@ def _hash_root(parent: Column) -> Column:
     return F.concat(F.lit("#"), F.coalesce(parent.cast("string"), F.lit("null")))
 
 
-def resolve(links: DataFrame) -> DataFrame:
+def resolve(links: DataFrame, order: bool = False) -> DataFrame:
     """(tree, image_id, node, path, depth, root, cycle): ``cycle`` is the smallest node of the loop met, else null.
 
-    ``path`` of an unreached node is null. ``root`` is the path of the root (empty for the root directory).
+    ``path`` of an unreached node is null. ``root`` is the path of the root (empty for the root directory). With ``order`` the links' column of that name is joined up like the labels,
+    as ``order_path``.
     """
+    at = ["tree", "image_id", "top"]
+    extra = ["order_path"] * order
     named = links.select("tree", "image_id", F.col("node").alias("parent"), F.lit(True).alias("_named"))
     base = F.coalesce("base", F.when(F.col("_named").isNull(), _hash_root(F.col("parent"))))
-    rooted = links.join(named, ["tree", "image_id", "parent"], "left").withColumn("base", base)
-    seg = cut(rooted.select(*KEY, "parent", F.col("parent").alias("top"), F.concat(F.lit("/"), "label").alias("seg"), "base", F.lit(1).alias("depth")))
-    for _ in range(STRIDE_ROUNDS):
-        # the top of a row without a base is a node, so every such row finds its upper one
-        upper = seg.select("tree", "image_id", F.col("node").alias("top"), F.col("top").alias("_top"), F.col("seg").alias("_seg"), F.col("base").alias("_base"), F.col("depth").alias("_depth"))
-        joined = seg.where("base is null").join(upper, ["tree", "image_id", "top"])
-        longer = joined.select(*KEY, "parent", F.col("_top").alias("top"), F.concat("_seg", "seg").alias("seg"), F.col("_base").alias("base"), (F.col("depth") + F.col("_depth")).alias("depth"))
-        seg = cut(seg.where("base is not null").unionByName(longer))
-    done = [seg.where("base is not null").select(*KEY, F.concat("base", "seg").alias("path"), "depth", F.col("base").alias("root"))]
-    frontier, rest = done[0], seg.where("base is null").drop("base")
-    left = rest.count()
+    up = lambda c: F.concat(F.lit("/"), c)
+    own = [up("label").alias("seg")] + [up("order").alias("order_path")] * order
+    rooted = links.join(named, ["tree", "image_id", "parent"], "left").select(*KEY, "parent", F.col("parent").alias("top"), *own, base.alias("base"), F.lit(1).alias("depth"))
+    # a row is done when its base is known; then seg is the whole way down from it
+    frontier, left = _written(rooted)
+    done = [frontier.where("base is not null")]
+    rest = frontier.where("base is null")
     while left:
-        reached = frontier.select("tree", "image_id", F.col("node").alias("top"), F.col("path").alias("_path"), F.col("depth").alias("_depth"), "root")
-        step = cut(rest.join(reached, ["tree", "image_id", "top"], "left"))
-        frontier = step.where("_path is not null").select(*KEY, F.concat("_path", "seg").alias("path"), (F.col("_depth") + F.col("depth")).alias("depth"), "root")
-        rest = step.where("_path is null").select(*KEY, "parent", "top", "seg", "depth")
-        now = rest.count()
+        above = done[-1].select("tree", "image_id", F.col("node").alias("top"), *[F.col(c).alias(f"_{c}") for c in ("seg", "base", "depth", *extra)])
+        joined = rest.join(above, at, "left")
+        longer = lambda t="_": [F.concat(f"{t}{c}", c).alias(c) for c in ("seg", *extra)]
+        further = (F.col("depth") + F.col("_depth")).alias("depth")
+        reached = joined.where("_base is not null").select(*KEY, "parent", "top", *longer(), F.col("_base").alias("base"), further)
+        waiting = joined.where("_base is null").select(*KEY, "parent", "top", "seg", *extra, "base", "depth")
+        # the top of a waiting row was waiting itself at the round's start: either the frontier has just reached it, or it lends its own labels
+        every = reached.unionByName(waiting)
+        upper = every.select("tree", "image_id", F.col("node").alias("top"), F.col("top").alias("_top"), *[F.col(c).alias(f"_{c}") for c in ("seg", "base", "depth", *extra)])
+        doubled = waiting.drop("base").join(upper, at).select(*KEY, "parent", F.col("_top").alias("top"), *longer(), F.col("_base").alias("base"), further)
+        step, now = _written(reached.unionByName(doubled))
         if now == left:
             break
-        done.append(frontier)
-        left = now
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
+        done.append(step.where("base is not null"))
+        rest, left = step.where("base is null"), now
+    out = None
+    for part in done:
+        one = part.select(*KEY, F.concat("base", "seg").alias("path"), "depth", F.col("base").alias("root"), *extra)
+        out = one if out is None else out.unionByName(one)
     out = out.withColumn("cycle", F.lit(None).cast("long"))
     if left:
         none = F.lit(None)
         loops = cycle_of(rest.select(*KEY, "parent"))
-        out = out.unionByName(loops.select(*KEY, none.cast("string").alias("path"), none.cast("int").alias("depth"), none.cast("string").alias("root"), "cycle"))
+        unreached = loops.select(*KEY, none.cast("string").alias("path"), none.cast("int").alias("depth"), none.cast("string").alias("root"), *[none.cast("string").alias(c) for c in extra], "cycle")
+        out = out.unionByName(unreached)
     return out
 
 
+def _written(rows: DataFrame) -> tuple[DataFrame, int]:
+    """``rows`` written, and how many of them have no base yet, counted while writing."""
+    seen = Observation()
+    table = cut(rows.observe(seen, F.count_if(F.col("base").isNull()).alias("open")))
+    return table, seen.get["open"]
+
+
 def cycle_of(links: DataFrame) -> DataFrame:
     """(tree, image_id, node, cycle) for links whose way up never ends: the smallest node on the loop it meets.
 
@@ -187,7 +199,7 @@ def paths(dirent: DataFrame, dx_root: DataFrame, extent_idx: DataFrame) -> DataF
 def ancestor_pairs(links: DataFrame, resolved: DataFrame) -> DataFrame:
     """(tree, image_id, node, ancestor, distance) of every reached inner node, its root included.
 
-    Pairs up to distance 2^k and the node 2^k levels up give the pairs up to 2^(k+1): a join a doubling of depth.
+    Pairs up to distance 2^k and the node 2^k levels up give the pairs up to 2^(k+1): a join a doubling of depth, and only new pairs are written.
     """
     reached = resolved.where("cycle is null").select(*KEY, "depth")
     jump = cut(links.join(reached, list(KEY)).select(*KEY, F.col("parent").alias("jump"), "depth"))
@@ -197,32 +209,44 @@ def ancestor_pairs(links: DataFrame, resolved: DataFrame) -> DataFrame:
     while span < deepest:
         at = jump.select("tree", "image_id", F.col("node").alias("jump"), F.col("jump").alias("_jump"))
         upper = pairs.select("tree", "image_id", F.col("node").alias("jump"), "ancestor", (F.col("distance") + span).alias("distance"))
-        pairs = cut(pairs.unionByName(jump.join(upper, ["tree", "image_id", "jump"]).select(*KEY, "ancestor", "distance")))
+        pairs = pairs.unionByName(cut(jump.join(upper, ["tree", "image_id", "jump"]).select(*KEY, "ancestor", "distance")))
         jump = cut(jump.join(at, ["tree", "image_id", "jump"]).select(*KEY, F.col("_jump").alias("jump")))
         span *= 2
     return pairs
 
 
+def _pairs(dirent: DataFrame, dx_root: DataFrame, extent_idx: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, links, ancestor pairs of the reached inner nodes)."""
+    rows = tree_rows(dirent, dx_root, extent_idx)
+    links = cut(_links(rows))
+    return rows, links, ancestor_pairs(links, resolve(links))
+
+
+def descendants(dirent: DataFrame, dx_root: DataFrame, extent_idx: DataFrame) -> DataFrame:
+    """(tree, image_id, ancestor, node, distance): every node at any depth below each reached inner node, the root directory and directories without a known parent.
+
+    A listed row is below its parent, and below all that its parent is below. A node listed twice below one keeps its shortest distance. Nodes on or below a loop have no ancestor.
+    """
+    rows, links, pairs = _pairs(dirent, dx_root, extent_idx)
+    own = rows.select(*KEY, "parent", "base")
+    above = ["tree", "image_id", "parent"]
+    parent_of = pairs.withColumnRenamed("node", "parent")
+    free = own.where("base is null").join(links.select("tree", "image_id", F.col("node").alias("parent")), above, "left_anti")
+    inner = own.where("base is null").join(parent_of.select(*above).distinct(), above, "left_semi")
+    near = own.where("base is not null").unionByName(free).unionByName(inner).select(*KEY, F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
+    far = inner.join(parent_of, above).select(*KEY, "ancestor", (F.col("distance") + 1).alias("distance"))
+    # the top of an extent tree is the inode, no block
+    every = near.unionByName(far).where("ancestor is not null and not (tree = 'ext' and ancestor = 0)")
+    return every.groupBy("tree", "image_id", "ancestor", "node").agg(F.min("distance").alias("distance"))
+
+
 def descendant_counts(dirent: DataFrame, dx_root: DataFrame, extent_idx: DataFrame) -> DataFrame:
-    """(tree, image_id, node, n_descendants): rows anywhere below each reached inner node.
+    """(tree, image_id, node, n_descendants): rows anywhere below each reached inner node that has any.
 
-    Counts climb the levels: rows are first counted per parent, then the subtotals of the deepest level are added to the
-    level above, so that each level is one aggregation over at most the inner nodes of that level.
+    Rows are first counted per parent; the counts of all inner nodes below a node, told by the ancestor pairs, and its own add up.
     """
-    rows = tree_rows(dirent, dx_root, extent_idx)
-    links = _links(rows)
-    own = rows.groupBy("tree", "image_id", F.col("parent").alias("node")).agg(F.count("*").alias("n"))
-    # a frontier reaches a node only over its kept way up, so subtotals climb that way too
-    state = cut(links.join(resolve(links).where("cycle is null").select(*KEY, "depth"), list(KEY)).join(own, list(KEY), "left").select(*KEY, "parent", "depth", F.coalesce("n", F.lit(0)).alias("n")))
-    span = 1
-    deepest = state.agg(F.max("depth")).first()[0] or 0
-    cur = state.select(*KEY, F.col("parent").alias("jump"), "n")
-    while span < max(deepest, 1):
-        # pointer doubling on sums: after round k, n counts the rows within 2^k levels below
-        add = cur.groupBy("tree", "image_id", F.col("jump").alias("node")).agg(F.sum("n").alias("_n"))
-        at = cur.select("tree", "image_id", F.col("node").alias("jump"), F.col("jump").alias("_jump"))
-        cur = cut(
-            cur.join(add, list(KEY), "left").join(at, ["tree", "image_id", "jump"], "left").select(*KEY, F.col("_jump").alias("jump"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"))
-        )
-        span *= 2
-    return cur.select(*KEY, F.col("n").alias("n_descendants"))
+    rows, _, pairs = _pairs(dirent, dx_root, extent_idx)
+    own = cut(rows.groupBy("tree", "image_id", F.col("parent").alias("node")).agg(F.count("*").alias("n")))
+    below = pairs.join(own, list(KEY)).select("tree", "image_id", F.col("ancestor").alias("node"), "n")
+    total = own.unionByName(below).groupBy(*KEY).agg(F.sum("n").alias("n_descendants"))
+    return total.join(pairs.select(*KEY).distinct(), list(KEY), "left_semi")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from blockloom.operators import hierarchy, intervals, orphans
 from blockloom.session import read_table
 
+#: The instant that parts the loads of ``p1_two_loads``.
+SECOND_LOAD = "2024-03-01 00:00:00"
 _DIRENT = ("entry_id", "image_id", "dir_inode", "inode", "file_type_str", "name")
 _DX = ("dx_id", "image_id", "dir_inode", "dotdot_inode")
 _IDX = ("idx_id", "image_id", "inode_number", "node_block", "ei_leaf_lo", "ei_leaf_hi")
@@ -26,6 +28,17 @@ def p1_by_period(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphans_by_period(p1_found(spark, d))
 
 
+def p1_two_loads(spark: SparkSession, d: str) -> DataFrame:
+    """The report of ``p1_found``, from the state after the rows that arrived before ``SECOND_LOAD``, merged with the deltas of the later ones."""
+    tables = (
+        read_table(spark, d, "dirent", "entry_id", "image_id", "inode", "scan_ts", "loaded_at"),
+        read_table(spark, d, "dx_root", "dx_id", "image_id", "dot_inode", "scan_ts", "loaded_at"),
+        read_table(spark, d, "inode", "image_id", "inode_number", "i_dtime", "scan_ts", "loaded_at"),
+    )
+    early = F.coalesce(F.col("loaded_at") < F.lit(SECOND_LOAD).cast("timestamp_ntz"), F.lit(False))
+    return orphans.orphans_of_two_loads(tuple(t.where(early) for t in tables), tuple(t.where(~early) for t in tables))
+
+
 def _trees(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return read_table(spark, d, "dirent", *_DIRENT), read_table(spark, d, "dx_root", *_DX), read_table(spark, d, "extent_idx", *_IDX)
 
@@ -35,6 +48,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.descendants(*_trees(spark, d))
+
+
+def p2_descendant_counts(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendant_counts(*_trees(spark, d))
 
 
@@ -48,7 +65,7 @@ def p5_totals(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("image_id", "kind").agg(F.count("*").alias("n_ranges"), F.sum(F.col("block_end") - F.col("block_start")).alias("n_blocks"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_by_period, p2_found, p2_descendants, p5_found, p5_totals)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_by_period, p1_two_loads, p2_found, p2_descendants, p2_descendant_counts, p5_found, p5_totals)}
 
 _P1 = """
 WITH refs AS (
@@ -125,6 +142,7 @@ found AS (
 
 SQL = {
     "p1_found": _P1 + "SELECT * FROM found WHERE reason IS NOT NULL",
+    "p1_two_loads": _P1 + "SELECT * FROM found WHERE reason IS NOT NULL",
     "p1_by_period": _P1 + "SELECT ref_table, period_ym, reason, count(*) AS n_refs FROM found WHERE reason IS NOT NULL GROUP BY ALL",
     "p2_found": _P2
     + """SELECT DISTINCT tree, image_id, node, full_path FROM (
@@ -132,6 +150,14 @@ SQL = {
   UNION ALL SELECT l.tree, l.image_id, l.node, 'cycle:' || o.least FROM lost l JOIN loops o ON l.tree = o.tree AND l.image_id = o.image_id AND l.parent = o.origin)""",
     "p2_descendants": _P2
     + """, chain AS (
+  SELECT tree, image_id, node, parent AS ancestor, 1 AS distance FROM based b
+  WHERE b.root IS NOT NULL OR EXISTS (SELECT 1 FROM walk w WHERE w.tree = b.tree AND w.image_id = b.image_id AND w.inner_node AND w.node = b.parent)
+  UNION ALL
+  SELECT c.tree, c.image_id, c.node, u.parent, c.distance + 1 FROM chain c JOIN up u ON u.tree = c.tree AND u.image_id = c.image_id AND u.node = c.ancestor
+  WHERE c.ancestor <> CASE c.tree WHEN 'dir' THEN 2 ELSE 0 END)
+SELECT tree, image_id, ancestor, node, min(distance) AS distance FROM chain WHERE NOT (tree = 'ext' AND ancestor = 0) GROUP BY ALL""",
+    "p2_descendant_counts": _P2
+    + """, chain AS (
   SELECT t.tree, t.image_id, u.node AS anc, u.parent AS nx FROM (SELECT DISTINCT * FROM trees) t
   JOIN up u ON u.tree = t.tree AND u.image_id = t.image_id AND u.node = t.parent
   JOIN (SELECT DISTINCT tree, image_id, node FROM walk WHERE inner_node) k ON k.tree = u.tree AND k.image_id = u.image_id AND k.node = u.node

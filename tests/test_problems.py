@@ -1,6 +1,7 @@
 """The general problems against brute force on small tables, with nulls, repeats, ties, empty tables and extra columns."""
 
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -37,28 +38,86 @@ def test_orphans(spark):
     assert orphans.find_orphans(d, x, n.limit(0)).where("reason <> 'missing'").count() == 0
 
 
-def test_orphan_state_merges(spark, tmp_path):
-    """States of two loads merged, and kept by a stream, equal the state of all rows at once."""
+def _state(df):
+    return _rows(df.select(*orphans.KEY, "ref_count", "exist_count", "seen_count", "last_seen", "first_loaded"))
+
+
+def _load(spark, entries, inodes):
+    d, x, n = spark.createDataFrame(entries, DIRENT), spark.createDataFrame([], DX), spark.createDataFrame(inodes, INODE)
+    return d, x, n
+
+
+def test_orphan_counts_are_signed_sums(spark):
+    """Creation, deletion, return and withdrawal add up over loads; an old observation that comes late changes nothing."""
+    obs = lambda *rows: orphans.observe(spark.createDataFrame([("a", n, g, T(t), T(t), 0) for n, g, t in rows], INODE))
+    state = orphans.fold_deltas(orphans.existence_deltas(obs((20, 0, 1), (21, 0, 1), (21, 7, 2), (22, 0, 5), (23, 0, 1), (24, 9, 1))))
+    counts = lambda s: {r["inode_number"]: (r["exist_count"], r["seen_count"]) for r in s.collect()}
+    assert counts(state) == {20: (1, 1), 21: (0, 1), 22: (1, 1), 23: (1, 1), 24: (0, 1)}
+    second = orphans.existence_deltas(obs((20, 4, 3), (21, 0, 3), (22, 9, 2), (25, 0, 1), (24, 9, 2)), state)
+    assert sorted((r["inode_number"], r["exist_delta"]) for r in second.where("exist_delta <> 0").collect()) == [(20, -1), (21, 1), (25, 1)]
+    state = orphans.merge_states(state, orphans.fold_deltas(second))
+    assert counts(state) == {20: (0, 1), 21: (1, 1), 22: (1, 1), 23: (1, 1), 24: (0, 1), 25: (1, 1)}
+    back = orphans.existence_deltas(obs((23, 0, 1), (24, 9, 1), (99, 0, 1)), state, withdrawn=True)
+    state = orphans.merge_states(state, orphans.fold_deltas(back))
+    left = counts(state)
+    assert left[23] == (0, 0) and left[24] == (0, 0) and 99 not in left
+    assert state.where("inode_number in (23, 24) and (last_seen is not null or first_loaded is not null)").count() == 0
+
+
+def test_orphans_of_two_loads(spark):
+    """Two loads merged, records repeated across them, give the report of all rows at once."""
     rng = random.Random(3)
     entries = [(i, "a", 2, rng.randint(11, 40), "file", "n", T(0), T(rng.randint(0, 9)), "") for i in range(200)]
     inodes = [("a", rng.randint(11, 40), rng.choice([0, 0, 9]), T(rng.randint(0, 5)), T(rng.randint(0, 9)), 0) for _ in range(60)]
-    refs = orphans.references(spark.createDataFrame(entries, DIRENT), "dirent", "entry_id", "inode")
-    have = orphans.existence_deltas(spark.createDataFrame(inodes, INODE))
-    more = orphans.reference_deltas(refs)
-    at_once = _rows(orphans.fold_deltas(more, have).drop("first_ref"))
-    halves = [orphans.fold_deltas(more.where(f"inode_number % 2 = {k}"), have.where(f"inode_number % 3 {'=' if k else '<>'} 0")) for k in (0, 1)]
-    assert _rows(orphans.merge_states(*halves).drop("first_ref")) == at_once
-    for k, df in enumerate((more, have)):
-        df.coalesce(1).write.parquet(str(tmp_path / f"in{k}"))
-    (tmp_path / "stream").mkdir()
-    for k in (0, 1):
-        for f in (tmp_path / f"in{k}").glob("*.parquet"):
-            f.rename(tmp_path / "stream" / f"{k}.parquet")
-    stream = spark.readStream.schema(more.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "stream"))
-    orphan_stream.maintain(stream, str(tmp_path / "out"), str(tmp_path / "chk")).awaitTermination(120)
-    last = orphan_stream.latest_batch(spark, str(tmp_path / "out"))
-    assert last == 1
-    assert _rows(orphan_stream.read_state(spark, str(tmp_path / "out"), last).select(orphans.fold_deltas(more, have).columns).drop("first_ref")) == at_once
+    # "late" goes by the earliest arrival, so a repeat in the second load arrives later than in the first
+    again = [(*e[:7], T(20), "") for e in entries[:50:5]] + [entries[60]]
+    want = _rows(orphans.find_orphans(*_load(spark, entries, inodes)))
+    got = orphans.orphans_of_two_loads(_load(spark, entries[:120], inodes[:25]), _load(spark, entries[120:] + again, inodes[25:] + inodes[:9]))
+    assert len(want) > 20 and _rows(got) == want
+    empty = _load(spark, [], [])
+    assert _rows(orphans.orphans_of_two_loads(empty, _load(spark, entries, inodes))) == want
+    assert _rows(orphans.orphans_of_two_loads(_load(spark, entries, inodes), empty)) == want
+
+
+def test_orphan_stream(spark, tmp_path):
+    """A stream with repeats and withdrawals keeps the state of what is left; old folders go."""
+    rng = random.Random(4)
+    entry = lambda i, n: (i, "a", 2, n, "file", "n", T(0), T(5), "")
+    inode = lambda n, gone, t: ("a", n, gone, T(t), T(1), 0)
+    batches = [
+        ([entry(i, rng.randint(11, 30)) for i in range(60)], [inode(n, 0, 1) for n in range(11, 26)], 1),
+        ([entry(1000, 11), entry(1001, 31)], [inode(12, 8, 2), inode(13, 0, 2), inode(31, 0, 2)], 1),
+        ([], [inode(14, 0, 1)], -1),
+        ([entry(1001, 31), entry(4242, 12)], [], -1),
+    ]
+    batches[1][0].extend(batches[0][0][:20])
+    (tmp_path / "in").mkdir()
+    schema = None
+    for k, (e, n, sign) in enumerate(batches):
+        refs = orphans.references(spark.createDataFrame(e, DIRENT), "dirent", "entry_id", "inode")
+        rows = orphan_stream.change_rows(refs, spark.createDataFrame(n, INODE), sign)
+        schema = schema or rows.schema
+        rows.coalesce(1).write.parquet(str(tmp_path / f"b{k}"))
+        next((tmp_path / f"b{k}").glob("*.parquet")).rename(tmp_path / "in" / f"{k}.parquet")
+    out = str(tmp_path / "out")
+    for k in range(4):  # mtime orders the files
+        os.utime(tmp_path / "in" / f"{k}.parquet", (1_000_000 + k, 1_000_000 + k))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    orphan_stream.maintain(stream, out, str(tmp_path / "chk")).awaitTermination(300)
+    assert orphan_stream.latest_batch(spark, out) == 3
+    entries = batches[0][0] + [entry(1000, 11)]
+    inodes = [n for n in batches[0][1] if n[1] != 14] + batches[1][1]
+    want = _rows(orphans.find_orphans(*_load(spark, entries, inodes)))
+    sample = spark.createDataFrame([], schema)
+    assert _rows(orphan_stream.current_report(spark, out, sample)) == want
+    assert {r[2] for r in want} == {"missing", "deleted"}
+    state = orphan_stream.read_state(spark, out, sample)
+    assert state.where("ref_count < 0 or exist_count not in (0, 1)").count() == 0
+    # the batch done once more changes nothing, and at most two manifests are left
+    orphan_stream.fold_batch(spark.read.schema(schema).parquet(str(tmp_path / "in" / "3.parquet")), 3, out)
+    assert _rows(orphan_stream.current_report(spark, out, sample)) == want
+    assert len(list((tmp_path / "out" / "manifest").glob("[0-9]*"))) == 2
+    assert len(list((tmp_path / "out" / "keys").glob("batch=*/bucket=*"))) <= 2 * 20
 
 
 def _brute_paths(entries, roots, idx):
@@ -127,14 +186,24 @@ def test_paths(spark, seed):
     roots = [(1, "a", 600, 600, 2, T(0), T(0)), (2, "a", 601, 601, 602, T(0), T(0)), (3, "a", 602, None, 601, T(0), T(0)), (4, "b", 603, 9, None, T(0), T(0))]
     idx = [(1, "a", 40, 0, 100, 0), (2, "a", 40, 100, 101, 0), (3, "a", 40, 101, 102, 1), (4, "b", 41, 900, 901, 0), (5, "b", 41, 903, 902, 0), (6, "b", 41, 902, 903, 0), (7, "b", 41, 903, 904, 0), (7, "b", 41, 903, 904, 0)]
     d, x, i = spark.createDataFrame(entries, DIRENT), spark.createDataFrame(roots, DX), spark.createDataFrame(idx, IDX)
+    want = _brute_paths(entries, roots, idx)
     got = set(map(tuple, hierarchy.paths(d, x, i).collect()))
-    assert got == _brute_paths(entries, roots, idx)
+    assert got == want
+    # as many ancestors as steps on the way, the root of an extent tree and doubly listed nodes apart
+    once = {(t, g, n) for t, g, n, _ in want} - {k for k in {(t, g, n) for t, g, n, _ in want} if sum(w[:3] == k for w in want) > 1}
+    below = hierarchy.descendants(d, x, i).groupBy("tree", "image_id", "node").agg(F.count("*").alias("k")).collect()
+    k = {(r["tree"], r["image_id"], r["node"]): r["k"] for r in below}
+    for tree, img, node, path in want:
+        if (tree, img, node) in once and "#null" not in path:
+            steps = 0 if path.startswith("cycle") else path.count("/") - 2 * (tree == "ext" and not path.startswith("#"))
+            assert k.get((tree, img, node), 0) == steps, path
 
 
 def test_trees_edges(spark):
     d, x, i = spark.createDataFrame([], DIRENT), spark.createDataFrame([], DX), spark.createDataFrame([], IDX)
     assert hierarchy.paths(d, x, i).count() == 0
     assert hierarchy.descendant_counts(d, x, i).count() == 0
+    assert hierarchy.descendants(d, x, i).count() == 0
     chain = spark.createDataFrame([(n, "a", n - 1 if n > 11 else 2, n, "directory", f"d{n}", T(0), T(0), "") for n in range(11, 61)], DIRENT)
     counts = {r["node"]: r["n_descendants"] for r in hierarchy.descendant_counts(chain, x, i).collect()}
     assert counts == {n: 60 - n for n in range(11, 60)}
@@ -143,6 +212,9 @@ def test_trees_edges(spark):
     pairs = hierarchy.ancestor_pairs(links, hierarchy.resolve(links)).where("ancestor > 2")
     assert pairs.count() == 49 * 48 // 2
     assert pairs.where("node - ancestor <> distance").count() == 0
+    below = hierarchy.descendants(chain, x, i)
+    assert below.count() == 50 * 51 // 2  # the root directory is an ancestor too
+    assert below.where("ancestor > 2 and node - ancestor <> distance or ancestor = 2 and node - 10 <> distance").count() == 0
 
 
 def _brute_ranges(rows):
