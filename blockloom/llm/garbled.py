@@ -1,7 +1,8 @@
 """Text decoded with the wrong character encoding: found and, where possible, restored by round trips.
 
-A word is re-encoded under each candidate legacy encoding and strictly decoded as each candidate intended encoding, also in nested layers;
-of UTF-8 read as a single-byte encoding also parts of a word are tried, byte sequence by byte sequence. A repair is accepted when the garbling cost
+A word is re-encoded under each candidate legacy encoding and strictly decoded as each candidate intended encoding, also in up to ``LAYERS`` nested layers, of which
+no two in a row swap one legacy encoding for another (two such swaps look like one); of UTF-8 read as a single-byte encoding also parts of a word are tried, byte sequence by byte sequence. All
+texts that such chains lead to are judged, whatever their number or rank. A repair is accepted when the garbling cost
 drops by ``MARGIN`` (``UTF8_MARGIN`` if UTF-8 was read): the cost adds the word's trigram cost under counts of the whole column to fixed penalties for what garbling leaves behind
 (control characters, symbols inside words, scripts in turns, capitals after small letters). Replacement and C1 control characters mark a word as garbled
 even where nothing can be restored.
@@ -15,12 +16,11 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.ngrams import TrigramCost, fold_counts, trigrams, word_counts
+from blockloom.llm.ngrams import Counts, TrigramCost, fold_counts, trigrams, word_counts
 
 #: Encodings a text may wrongly have been read with.
 READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp1254", "iso8859-2", "iso8859-7", "iso8859-9", "iso8859-15", "mac-roman", "koi8-r", "cp437", "cp850", "cp852", "cp866", "gbk", "cp932")
@@ -85,27 +85,56 @@ def _parts(word: str, name: str) -> str | None:
     return "".join([*out, word[at:]]) if at else None
 
 
-def candidates(word: str) -> Iterator[tuple[str, str]]:
-    """(repair, how) of one layer."""
-    seen = {word}
+def _pair_classes() -> tuple[re.Pattern, dict[str, re.Pattern]]:
+    """Patterns of two characters that may begin a UTF-8 sequence, under any encoding and under each."""
+    each, leads, follows = {}, set(), set()
+    for name, table in _BYTES.items():
+        lead = {c for c, b in table.items() if 0xC2 <= b <= 0xF4}
+        follow = {c for c, b in table.items() if 0x80 <= b <= 0xBF}
+        each[name] = re.compile(f"[{re.escape(''.join(sorted(lead)))}][{re.escape(''.join(sorted(follow)))}]")
+        leads |= lead
+        follows |= follow
+    return re.compile(f"[{re.escape(''.join(sorted(leads)))}][{re.escape(''.join(sorted(follows)))}]"), each
+
+
+_ANY_PAIR, _PAIRS = _pair_classes()
+
+
+def utf8_candidates(word: str) -> Iterator[str]:
+    """Repairs of one layer in which UTF-8 was read as something else: of the whole word and of parts."""
+    if word.isascii():
+        return
+    if _ANY_PAIR.search(word):
+        for r, pair in _PAIRS.items():
+            if pair.search(word):
+                p = _parts(word, r)
+                if p is not None:
+                    yield p
+    for r in READ_AS:
+        if r in _BYTES and not _PAIRS[r].search(word):
+            continue  # strict UTF-8 with a character beyond ASCII has such a pair
+        raw = re_encode(word, r)
+        if raw is not None:
+            try:
+                yield raw.decode("utf-8")
+            except UnicodeDecodeError:
+                pass
+
+
+def legacy_candidates(word: str) -> Iterator[str]:
+    """Repairs of one layer in which a legacy encoding was read as another."""
     for r in READ_AS:
-        p = _parts(word, r)
-        if p is not None and p not in seen:
-            seen.add(p)
-            yield p, f"utf-8 as {r}"
+        if r not in _BYTES:
+            continue
         raw = re_encode(word, r)
         if raw is None:
             continue
         for w in WRITTEN_AS:
-            if w == r or r not in _BYTES and w != "utf-8":
-                continue
-            try:
-                text = raw.decode(w)
-            except UnicodeDecodeError:
-                continue
-            if text not in seen:
-                seen.add(text)
-                yield text, f"{w} as {r}"
+            if w != r and w != "utf-8":
+                try:
+                    yield raw.decode(w)
+                except UnicodeDecodeError:
+                    pass
 
 
 def _script(c: str) -> str:
@@ -134,7 +163,7 @@ def traces(word: str) -> float:
 class Repair:
     """Judges words; remembers them up to a bound."""
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, counts: Counts):
         self.lm = TrigramCost(counts)
         self._memo: dict[str, tuple[bool, str]] = {}
 
@@ -156,23 +185,31 @@ class Repair:
         if word.translate(_INVISIBLE).isascii():
             return False, word
         start = self.cost(word)
-        text, gain, layer, seen = word, 0.0, [(word, True)], {word}
+        # every text that a chain of layers leads to, with whether UTF-8 was read in each; none is left out for its rank
+        chains: dict[str, tuple[int, bool]] = {word: (0, True)}
+        layer = [(word, True, True)]
         for depth in range(1, LAYERS + 1):
-            ranked = []
-            for w, utf8 in layer:
-                for y, how in candidates(w):
-                    if y and y not in seen:
-                        seen.add(y)
-                        ranked.append((self.cost(y) + LAYER_COST * (depth - 1), y, utf8 and how.startswith("utf-8")))
-            ranked.sort()
-            for cost, y, utf8 in ranked[:3]:
-                known = utf8 or self.lm.support(y) >= SUPPORT
-                if known and start - cost >= (UTF8_MARGIN if utf8 else MARGIN) and start - cost > gain:
-                    gain, text = start - cost, y
-            # a next layer starts from what looks best so far, better or not
-            layer = [(y, utf8) for _, y, utf8 in ranked[:3]]
+            following = []
+            for w, utf8, may_legacy in layer:
+                for y in utf8_candidates(w):
+                    if y and (y not in chains or utf8 and chains[y] == (depth, False)):
+                        chains[y] = (depth, utf8)
+                        following.append((y, utf8, True))
+                if may_legacy:
+                    for y in legacy_candidates(w):
+                        if y and y not in chains:
+                            chains[y] = (depth, False)
+                            following.append((y, False, False))
+            layer = following
             if not layer:
                 break
+        text, gain = word, 0.0
+        for y, (depth, utf8) in chains.items():
+            if not depth:
+                continue
+            won = start - self.cost(y) - LAYER_COST * (depth - 1)
+            if won > gain and won >= (UTF8_MARGIN if utf8 else MARGIN) and (utf8 or self.lm.support(y) >= SUPPORT):
+                gain, text = won, y
         return (True, text) if text != word else (bool(_LOST.search(word)), word)
 
     def name(self, name: str) -> tuple[bool, str]:
@@ -192,7 +229,7 @@ class Repair:
         return bad, "".join(out)
 
 
-def cost_table(table: DataFrame, column: str) -> np.ndarray:
+def cost_table(table: DataFrame, column: str) -> Counts:
     return fold_counts(word_counts(table, column, SEPARATORS), trigrams)
 
 

@@ -17,12 +17,11 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.ngrams import cell, fold_counts, word_counts
+from blockloom.llm.ngrams import Counts, fold_counts, word_counts
 from blockloom.session import cut
 
 #: Latin letters and the Cyrillic and Greek letters of the same shape.
@@ -90,13 +89,13 @@ def bigrams(word: str) -> Iterator[str]:
 class Forms:
     """Words to their one form; remembers them up to a bound."""
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, counts: Counts):
         self.counts = counts
         self._memo: dict[str, str] = {}
         self._words = re.compile(r"[^\W\d_]+(?:[̀-ͯ]+[^\W\d_]*)*").sub
 
     def _score(self, a: str, b: str) -> float:
-        return math.log(1.0 + float(self.counts[cell("b" + a + b)]))
+        return math.log(1.0 + self.counts["b" + a + b])
 
     def _path(self, word: str) -> str:
         known = self._memo.get(word)
@@ -129,11 +128,11 @@ class Forms:
         return out if out.isascii() else unicodedata.normalize("NFC", out)
 
 
-def bigram_table(table: DataFrame, column: str) -> np.ndarray:
+def bigram_table(table: DataFrame, column: str) -> Counts:
     return fold_counts(word_counts(table, column, SEPARATORS), bigrams)
 
 
-def add_form(table: DataFrame, column: str, counts: np.ndarray, form: str = "form") -> DataFrame:
+def add_form(table: DataFrame, column: str, counts: Counts, form: str = "form") -> DataFrame:
     """``table`` with the one form of ``column`` (null for null)."""
     shared = table.sparkSession.sparkContext.broadcast(counts)
     at = table.columns.index(column)
@@ -149,18 +148,31 @@ def add_form(table: DataFrame, column: str, counts: np.ndarray, form: str = "for
     return table.mapInArrow(run, f"{fields}, `{form}` string")
 
 
+def _members(dirent: DataFrame) -> DataFrame:
+    """(image_id, dir_inode, form, entry_id, name) of the (directory, form) groups with different names."""
+    named = dirent.where(F.col("name").isNotNull() & ~F.col("name").isin(".", ".."))
+    rows = named.select(F.col("entry_id").cast("long").alias("entry_id"), "image_id", "dir_inode", "name")
+    formed = cut(add_form(rows, "name", bigram_table(named, "name")))
+    key = ["image_id", "dir_inode", "form"]
+    groups = formed.groupBy(*key).agg(F.min("name").alias("_a"), F.max("name").alias("_b")).where("_a <> _b").select(*key)
+    return cut(formed.join(groups, key, "left_semi").select(*key, "entry_id", "name").distinct())
+
+
+def look_classes(dirent: DataFrame) -> DataFrame:
+    """(entry_id, class_id, form): one row per entry that looks like another of its directory; ``class_id`` is the class's smallest entry. The form that stays linear in a hot directory."""
+    members = _members(dirent)
+    key = ["image_id", "dir_inode", "form"]
+    return members.join(members.groupBy(*key).agg(F.min("entry_id").alias("class_id")), key).select("entry_id", "class_id", "form").distinct()
+
+
 def same_looking(dirent: DataFrame) -> DataFrame:
     """(entry_id_a, entry_id_b): entries of one directory whose names differ but look the same.
 
     Only the few (directory, form) groups with different names are joined with themselves; the join key holds the form, and what comes out is what
-    is asked for: the group's pairs.
+    is asked for: the group's pairs. ``look_classes`` says the same in one row per entry.
     """
-    named = dirent.where(F.col("name").isNotNull() & ~F.col("name").isin(".", ".."))
-    rows = named.select(F.col("entry_id").cast("long").alias("entry_id"), "image_id", "dir_inode", "name")
-    formed = cut(add_form(rows, "name", bigram_table(named, "name")))
     key = ["image_id", "dir_inode", "form"]
-    groups = formed.groupBy(*key).agg(F.min("name").alias("_a"), F.max("name").alias("_b")).where("_a <> _b").select(*key)
-    members = cut(formed.join(groups, key, "left_semi").select(*key, "entry_id", "name").distinct())
+    members = _members(dirent)
     a, b = members.alias("a"), members.alias("b")
     on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in key] + [F.col("a.entry_id") < F.col("b.entry_id"), F.col("a.name") != F.col("b.name")]
     return a.join(b, on).select(F.col("a.entry_id").alias("entry_id_a"), F.col("b.entry_id").alias("entry_id_b")).distinct()

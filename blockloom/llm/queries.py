@@ -20,6 +20,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.same_looking(read_table(spark, d, "dirent", "entry_id", "image_id", "dir_inode", "name"))
 
 
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row per entry that looks like another one of its directory."""
+    return lookalikes.look_classes(read_table(spark, d, "dirent", "entry_id", "image_id", "dir_inode", "name"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode_corpus(read_table(spark, d, "documents", "doc_id", "text"))
 
@@ -38,7 +43,7 @@ def p8_share(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_share(docs, p8_found(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_restored, p4_found, p6_ids, p7_found, p8_found, p8_share)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_restored, p4_found, p4_classes, p6_ids, p7_found, p8_found, p8_share)}
 
 _P8 = """
 WITH w AS (

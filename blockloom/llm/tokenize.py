@@ -2,7 +2,8 @@
 
 For each prefix of a byte string exactly one token can end its BPE encoding: the one token t for which the pair (last token before t, t) survives BPE on
 its own. ``PrefixTable`` stores that last token for every prefix, so the encoding is read off backwards, an append only continues the table
-and an edit keeps the prefixes before it. The pre-tokenizer's pieces are encoded one by one; equal pieces hit a bounded memo.
+and an edit keeps the prefixes before it. The pre-tokenizer's pieces are encoded one by one; equal pieces hit a bounded memo; a piece that is a token is its own encoding, as the table would have it.
+``encode_edited`` brings an encoded corpus up to date: ids away from an edit stay, an append encodes from the last safe cut on.
 
 Defined results: null and empty text give an empty list; blank text is encoded as it is; strings of special tokens are ordinary text; a repeated id
 counts once (the smallest text wins). Texts of any length are encoded whole. The vocabulary path is a parameter.
@@ -12,11 +13,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from blockloom.llm.textbatch import unique_docs
 
@@ -24,6 +28,9 @@ from blockloom.llm.textbatch import unique_docs
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 MEMO_PIECES = 400_000
+#: Characters looked back for a safe cut before the whole beginning is searched.
+REACH = 4096
+_CUT = regex.compile(r"\S\s")
 
 
 def _byte_letters() -> dict[str, int]:
@@ -149,6 +156,34 @@ class Encoder:
         return list(chain.from_iterable(map(self._of, self._pieces(text)))) if text else []
 
 
+    @cached_property
+    def sizes(self) -> np.ndarray:
+        """Bytes of each token id."""
+        out = np.zeros(max(self.v.ids.values()) + 1, np.int64)
+        out[list(self.v.ids.values())] = [len(b) for b in self.v.ids]
+        return out
+
+    def edit(self, text: str, ids: list[int], begin: int, end: int, new: str) -> tuple[str, list[int]]:
+        """Text and ids after ``text[begin:end]`` became ``new``; only what lies between safe cuts around the edit is encoded again.
+
+        A blank after a character that is none always begins a piece, whatever stands before or after the two.
+        """
+        begin, end = max(0, min(begin, len(text))), max(0, min(end, len(text)))
+        end = max(begin, end)
+        out = text[:begin] + new + text[end:]
+        left = 0
+        for m in _CUT.finditer(text[max(0, begin - 1 - REACH) : begin]):
+            left = max(0, begin - 1 - REACH) + m.start() + 1
+        if not left and begin - 1 > REACH:
+            left = max((m.start() + 1 for m in _CUT.finditer(text[:begin])), default=0)
+        m = _CUT.search(text, end)
+        right = m.start() + 1 if m else len(text)
+        done = np.cumsum(self.sizes[ids]) if ids else np.empty(0, np.int64)
+        a = int(np.searchsorted(done, len(text[:left].encode("utf-8", "replace")), "right"))
+        b = int(np.searchsorted(done, len(text[:right].encode("utf-8", "replace")), "right"))
+        return out, [*ids[:a], *self.encode(out[left : len(out) - (len(text) - right)]), *ids[b:]]
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -170,3 +205,25 @@ def encode_corpus(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "ids": pa.array(ids, pa.list_(pa.int32()))})
 
     return unique_docs(docs.select("doc_id", "text")).mapInArrow(run, "doc_id bigint, ids array<int>")
+
+
+def encode_edited(docs: DataFrame, encoded: DataFrame, edits: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, text, ids) of the documents that ``edits`` (doc_id, begin, end, new) name, from their old text and ids; one edit a document.
+
+    Offsets are code points of the old text and are clamped to it; ``begin`` beyond the end appends. A null ``new`` deletes; null text is empty. Of several edits of one
+    document the smallest (begin, end, new) counts. Documents without an edit keep their rows of ``encoded`` and aren't touched.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(vocabulary)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                columns = (part.column(c).to_pylist() for c in ("text", "ids", "begin", "end", "new"))
+                done = [e.edit(t or "", i or [], b or 0, n or 0, w or "") for t, i, b, n, w in zip(*columns)]
+                texts, ids = pa.array([t for t, _ in done], pa.string()), pa.array([i for _, i in done], pa.list_(pa.int32()))
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "text": texts, "ids": ids})
+
+    one = edits.groupBy("doc_id").agg(F.min(F.struct("begin", "end", "new")).alias("e")).select("doc_id", "e.begin", "e.end", "e.new")
+    old = unique_docs(docs.select("doc_id", "text")).join(one, "doc_id").join(encoded.select("doc_id", "ids"), "doc_id")
+    return old.select("doc_id", "text", "ids", "begin", "end", "new").mapInArrow(run, "doc_id bigint, text string, ids array<int>")
