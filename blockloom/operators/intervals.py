@@ -1,15 +1,15 @@
 """Overlapping and gapped integer intervals: continuous runs, gaps and clashes.
 
-Intervals ``[start, end)`` are cut at multiples of ``2^CELL_BITS`` and decomposed into canonical dyadic blocks (level, index), in the JVM
-by a closed form. Equal blocks collapse in a map-side combining aggregation. Blocks of one cell then meet in one place: at most ``2^(CELL_BITS+1)``
-distinct blocks exist there, however many intervals a hot entity has. There blocks covered by an ancestor go, sibling pairs
-merge upward level by level, and adjacent blocks coalesce (vectorised over all cells of a batch). Only the first and last
-run of each cell is compared across cells; an address space has a bounded number of cells (2^16 for the 2^32 logical blocks of a file).
+Intervals ``[start, end)`` are cut at multiples of ``2^CELL_BITS``. Each task first works off the pieces it has, many cells of the address space at a time: pieces are decomposed into canonical dyadic blocks (level, index)
+by a closed form, equal blocks collapse, blocks covered by an ancestor go, sibling pairs merge upward level by level, and adjacent blocks coalesce. What is left, at most one row per piece and at most ``2^CELL_BITS``
+rows a cell and task however hot the entity, is shuffled once, by (entity, cell), and worked off in the same way; only the first and last
+run of each cell is then compared across cells; an address space has a bounded number of cells (2^16 for the 2^32 logical blocks of a file).
 
-Clashes carry the smallest and largest owner of each block; a block clashes if its own and its ancestors' owners differ.
+Clashes carry the smallest and largest owner of each block; a block clashes if its own and its ancestors' owners differ. Before the shuffle equal pieces collapse, and where
+a task has more than ``HOT_PIECES`` pieces of a cell it sends their distinct blocks instead.
 
 Defined results: intervals with null or non-positive length, null start, null entity (or, for clashes, null owner) don't count.
-Repeated and equal intervals count once. Touching intervals are one run. Empty tables give no rows.
+Repeated and equal intervals count once; a start may be negative. Touching intervals are one run. Empty tables give no rows. An interval makes a row for each cell it lies in.
 """
 
 from __future__ import annotations
@@ -25,32 +25,47 @@ from blockloom.session import cut
 
 CELL_BITS = 16
 INIT_MAX_LEN = 32768
+HOT_PIECES = 4096
 _PIECES = "entity string, cell bigint, kind string, run_start bigint, run_end bigint, first boolean, last boolean"
 
 
-def _log2(x: Column) -> Column:
-    """floor(log2(x)) of a non-negative long, exactly."""
-    return F.length(F.bin(x)) - 1
+def cell_pieces(intervals: DataFrame, bits: int = CELL_BITS) -> DataFrame:
+    """``entity, s, e`` (+ other columns) to one row per cell: ``cell`` and the piece's ``s``, ``e`` inside it."""
+    kept = [c for c in intervals.columns if c not in ("s", "e")]
+    low, high = F.shiftright("s", bits), F.shiftright(F.col("e") - 1, bits)
+    whole = intervals.where(F.col("e") > F.col("s"))
+    # hardly any interval lies in more than one cell: those rows need no array
+    cells = whole.select("*", F.explode(F.when(low == high, F.array(low)).otherwise(F.sequence(low, high))).alias("cell"))
+    base = F.shiftleft("cell", bits)
+    return cells.select(*kept, "cell", F.greatest(F.col("s") - base, F.lit(0)).cast("int").alias("s"), F.least(F.col("e") - base, F.lit(1 << bits)).cast("int").alias("e"))
 
 
-def dyadic_blocks(intervals: DataFrame, bits: int = CELL_BITS) -> DataFrame:
-    """``entity, s, e`` (+ other columns) to one row per canonical block: ``cell, level, start``.
+def dyadic_blocks(s: np.ndarray, e: np.ndarray, bits: int = CELL_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the interval, level, start) of the canonical blocks of intervals inside a cell.
 
-    With h the highest bit in which s and e differ inside a cell and m = e cleared below h: the set bits of m - s give the blocks left of m,
-    those of e - m the blocks right of it.
+    With h the highest bit in which s and e differ and m = e cleared below h: the set bits of m - s give the blocks left of m, those of e - m the blocks right of it.
     """
-    kept = [c for c in intervals.columns if c not in ("s", "e")]
-    size = F.lit(1 << bits)
-    low, high = F.shiftright("s", bits), F.shiftright(F.col("e") - 1, bits)
-    cells = intervals.where((F.col("e") > F.col("s")) & (F.col("s") >= 0)).withColumn("cell", F.explode(F.sequence(low, high)))
-    base = F.col("cell") * size
-    local = cells.select(*kept, "cell", (F.greatest("s", base) - base).alias("s"), (F.least("e", base + size) - base).alias("e"))
-    h = _log2(F.col("s").bitwiseXOR(F.col("e"))).cast("int")
-    with_m = local.withColumn("m", F.call_function("shiftleft", F.call_function("shiftright", F.col("e"), h), h))
-    left = "transform(filter(sequence(0, length(bin(m - s)) - 1), l -> getbit(m - s, l) = 1), l -> struct(l as level, m - shiftleft(shiftright(m - s, l), l) as at))"
-    right = "transform(filter(sequence(0, length(bin(e - m)) - 1), l -> getbit(e - m, l) = 1), l -> struct(l as level, m + shiftleft(shiftright(e - m, l + 1), l + 1) as at))"
-    blocks = F.expr(f"concat({left}, {right})")
-    return with_m.select(*kept, "cell", F.explode(blocks).alias("b")).select(*kept, "cell", F.col("b.level").alias("level"), F.col("b.at").alias("start"))
+    h = np.floor(np.log2(np.maximum(s ^ e, 1))).astype(np.int64)
+    m = (e >> h) << h
+    left, right = m - s, e - m
+    which, level, start = [], [], []
+    for lv in range(bits + 1):
+        for has, at in (((left >> lv) & 1, m - ((left >> lv) << lv)), ((right >> lv) & 1, m + ((right >> (lv + 1)) << (lv + 1)))):
+            own = np.flatnonzero(has)
+            which.append(own)
+            level.append(np.full(len(own), lv, np.int64))
+            start.append(at[own])
+    return np.concatenate(which), np.concatenate(level), np.concatenate(start)
+
+
+def _collapse(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, first of each kind in it) of rows with equal keys."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    return order, np.flatnonzero(new)
 
 
 def _merge_up(group: np.ndarray, level: np.ndarray, start: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,21 +131,61 @@ def _runs(group: np.ndarray, level: np.ndarray, start: np.ndarray, bits: int) ->
     return g[at], s[at], np.concatenate([e[at[1:] - 1], e[-1:]])
 
 
-def _cell_pieces(table: pa.Table, bits: int, clash: bool) -> pa.RecordBatch | None:
-    """Runs and inner gaps of whole cells; the rows of a cell are neighbours."""
+def _groups(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(entities, a number per row's (entity, cell), one row of each number)."""
     entity, cell = table["entity"].combine_chunks(), table["cell"].to_numpy()
-    level, start = table["level"].to_numpy().astype(np.int64), table["start"].to_numpy()
-    ids = entity.dictionary_encode().indices.to_numpy(zero_copy_only=False)
-    new = np.ones(len(cell), bool)
-    new[1:] = (ids[1:] != ids[:-1]) | (cell[1:] != cell[:-1])
-    group = np.cumsum(new) - 1
-    first_row = np.flatnonzero(new)
+    ids = entity.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    order, first = _collapse(ids, cell)
+    group = np.empty(len(order), np.int64)
+    group[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    return entity, group, order[first]
+
+
+def _distinct_blocks(table: pa.Table, group: np.ndarray, bits: int, clash: bool) -> tuple[np.ndarray, ...]:
+    """(group, level, start[, low, high]) of the different blocks of all pieces."""
+    s, e = table["s"].to_numpy().astype(np.int64), table["e"].to_numpy().astype(np.int64)
+    which, level, start = dyadic_blocks(s, e, bits)
+    g = group[which]
+    order, first = _collapse(g, level, start)
+    out = [x[order][first] for x in (g, level, start)]
+    if clash:
+        out += [np.minimum.reduceat(table["low"].to_numpy()[which][order], first), np.maximum.reduceat(table["high"].to_numpy()[which][order], first)]
+    return tuple(out)
+
+
+def _combine(table: pa.Table, bits: int, clash: bool) -> pa.RecordBatch:
+    """Fewer pieces that say the same: before the shuffle."""
+    entity, group, row = _groups(table)
+    if clash:
+        s, e = table["s"].to_numpy().astype(np.int64), table["e"].to_numpy().astype(np.int64)
+        order, first = _collapse(group, s, e)
+        g, s, e = group[order][first], s[order][first], e[order][first]
+        low, high = np.minimum.reduceat(table["low"].to_numpy()[order], first), np.maximum.reduceat(table["high"].to_numpy()[order], first)
+        hot = np.bincount(g)[g] > HOT_PIECES
+        if hot.any():
+            part = pa.table({"s": pa.array(s[hot]), "e": pa.array(e[hot]), "low": pa.array(low[hot]), "high": pa.array(high[hot])})
+            bg, level, start, bl, bh = _distinct_blocks(part, g[hot], bits, True)
+            g, s, e = np.concatenate([g[~hot], bg]), np.concatenate([s[~hot], start]), np.concatenate([e[~hot], start + (np.int64(1) << level)])
+            low, high = np.concatenate([low[~hot], bl]), np.concatenate([high[~hot], bh])
+    else:
+        g, s, e = _runs(*_distinct_blocks(table, group, bits, False), bits)
+    rows = row[g]
+    out = {"entity": entity.take(pa.array(rows)), "cell": pa.array(table["cell"].to_numpy()[rows]), "s": pa.array(s.astype(np.int32)), "e": pa.array(e.astype(np.int32))}
+    return pa.record_batch(out | ({"low": pa.array(low), "high": pa.array(high)} if clash else {}))
+
+
+def _cell_runs(table: pa.Table, bits: int, clash: bool) -> pa.RecordBatch | None:
+    """Runs and inner gaps of whole cells."""
+    entity, group, first_row = _groups(table)
+    blocks = _distinct_blocks(table, group, bits, clash)
+    group, level, start = blocks[:3]
     if clash:
-        low, high = _owners(group, level, start, table["low"].to_numpy(), table["high"].to_numpy(), bits)
+        low, high = _owners(*blocks, bits)
         keep = low != high
         group, level, start = group[keep], level[keep], start[keep]
         if not len(group):
             return None
+    cell = table["cell"].to_numpy()
     g, s, e = _runs(group, level, start, bits)
     same = g[1:] == g[:-1]
     first, last = np.concatenate([[True], ~same]), np.concatenate([~same, [True]])
@@ -151,6 +206,24 @@ def _cell_pieces(table: pa.Table, bits: int, clash: bool) -> pa.RecordBatch | No
     )
 
 
+def _before(bits: int, clash: bool, rows_at_once: int = 500_000):
+    """mapInArrow that combines the pieces of a task, ``rows_at_once`` at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= rows_at_once:
+                yield _combine(pa.Table.from_batches(held), bits, clash)
+                held, rows = [], 0
+        if rows:
+            yield _combine(pa.Table.from_batches(held), bits, clash)
+
+    return run
+
+
 def _pieces(bits: int, clash: bool, rows_at_once: int = 200_000):
     """mapInArrow over rows sorted by (entity, cell): whole cells are worked off many at a time."""
 
@@ -171,11 +244,15 @@ def _pieces(bits: int, clash: bool, rows_at_once: int = 200_000):
             if rows >= rows_at_once:
                 t = pa.Table.from_batches(held)
                 k = cut_point(t)
-                if k and (out := _cell_pieces(t.slice(0, k), bits, clash)) is not None:
-                    yield out
-                held = t.slice(k).combine_chunks().to_batches()
-                rows = t.num_rows - k
-        if rows and (out := _cell_pieces(pa.Table.from_batches(held), bits, clash)) is not None:
+                if k:
+                    if (out := _cell_runs(t.slice(0, k), bits, clash)) is not None:
+                        yield out
+                    t = t.slice(k)
+                else:  # one cell fills it all: fewer pieces say the same
+                    t = pa.Table.from_batches([_combine(t, bits, clash)])
+                held = t.combine_chunks().to_batches()
+                rows = 0 if not k else t.num_rows
+        if held and (out := _cell_runs(pa.Table.from_batches(held), bits, clash)) is not None:
             yield out
 
     return run
@@ -187,12 +264,14 @@ def merge_intervals(intervals: DataFrame, owner: str | None = None, bits: int =
     ``intervals``: entity (string), s, e (bigint) and, if named, the owner column (bigint).
     """
     columns = ["entity", "s", "e"] + [owner] * bool(owner)
-    blocks = dyadic_blocks(intervals.select(*columns).dropna(), bits)
-    owners = [F.min(owner).alias("low"), F.max(owner).alias("high")] if owner else [F.lit(1).alias("_one")]
-    distinct = blocks.groupBy("entity", "cell", "level", "start").agg(*owners)
-    laid = distinct.repartition("entity", "cell").sortWithinPartitions("entity", "cell")
-    # written once: runs, gaps and edges are all read from the pieces
-    pieces = cut(laid.select("entity", "cell", "level", "start", *(["low", "high"] if owner else [])).mapInArrow(_pieces(bits, bool(owner)), _PIECES))
+    pieces = cell_pieces(intervals.select(*columns).dropna(), bits)
+    if owner:
+        pieces = pieces.select("entity", "cell", "s", "e", F.col(owner).alias("low"), F.col(owner).alias("high"))
+    fields = "entity string, cell bigint, s int, e int" + ", low bigint, high bigint" * bool(owner)
+    combined = pieces.select(*[f.split(" ")[0] for f in fields.split(", ")]).mapInArrow(_before(bits, bool(owner)), fields)
+    laid = combined.repartition("entity", "cell").sortWithinPartitions("entity", "cell")
+    # written once: runs, gaps and edges are all read from the result
+    pieces = cut(laid.mapInArrow(_pieces(bits, bool(owner)), _PIECES))
     edge = F.col("first") | F.col("last")
     inner = pieces.where(~edge).select("entity", "kind", "run_start", "run_end")
     by_start = Window.partitionBy("entity").orderBy("run_start")

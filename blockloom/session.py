@@ -45,11 +45,18 @@ def ship(spark: SparkSession) -> None:
     sc._blockloom_shipped = True
 
 
+def is_local(master: str) -> bool:
+    """Whether executors run inside this process (``local``, ``local[8]``, ``local[*, 3]``), not merely on this machine."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where none is set."""
+    """The folder all executors share (``spark.checkpoint.dir``); a temporary one where none is set and all executors are threads of this process."""
     set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_to:
         return set_to
+    if not is_local(spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = getattr(spark.sparkContext, "_blockloom_dir", None)
     if own is None:
         own = "file://" + tempfile.mkdtemp(prefix="blockloom-")

@@ -4,6 +4,8 @@ import datetime as dt
 import os
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -265,6 +267,54 @@ def test_ranges(spark, seed, scale):
     assert intervals.extent_ranges(df).count() == len(_brute_ranges(rows))
 
 
+def test_dyadic_blocks():
+    """Canonical blocks: aligned, disjoint, no two siblings, and together the interval."""
+    rng = random.Random(1)
+    pairs = [(0, 1), (0, 64), (1, 64), (0, 63), (31, 33), (5, 6)] + [tuple(sorted(rng.sample(range(65), 2))) for _ in range(300)]
+    s, e = (np.array(x, np.int64) for x in zip(*pairs))
+    which, level, start = intervals.dyadic_blocks(s, e, 6)
+    for k, (a, b) in enumerate(pairs):
+        own = sorted((int(x), int(lv)) for w, lv, x in zip(which, level, start) if w == k)
+        assert all(x % (1 << lv) == 0 for x, lv in own)
+        assert [p for x, lv in own for p in range(x, x + (1 << lv))] == list(range(a, b))
+        assert not any(l1 == l2 and x2 == x1 + (1 << l1) and (x1 >> l1) % 2 == 0 for (x1, l1), (x2, l2) in zip(own, own[1:]))
+
+
+def test_hot_cells_and_small_batches(spark, monkeypatch):
+    """One cell with most pieces, worked off a few rows at a time, gives the same runs and clashes; starts may be negative."""
+    rng = random.Random(7)
+    rows = [("h", a := rng.randint(-70_000, 3000), a + rng.choice([0, 1, 3, 40, 900]), rng.randint(1, 3)) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "entity string, s bigint, e bigint, owner bigint")
+    covered, owners = set(), {}
+    for _, a, b, o in rows:
+        covered.update(range(a, b))
+        for p in range(a, b):
+            owners.setdefault(p, set()).add(o)
+
+    def runs(points):
+        out = []
+        for v in sorted(points):
+            if out and out[-1][1] == v:
+                out[-1][1] = v + 1
+            else:
+                out.append([v, v + 1])
+        return [tuple(r) for r in out]
+
+    want, clash = runs(covered), runs({p for p, o in owners.items() if len(o) > 1})
+    monkeypatch.setattr(intervals, "HOT_PIECES", 50)
+    got = intervals.merge_intervals(df.select("entity", "s", "e")).collect()
+    assert sorted((r["run_start"], r["run_end"]) for r in got if r["kind"] == "run") == want
+    assert sorted((r["run_start"], r["run_end"]) for r in got if r["kind"] == "gap") == [(p[1], q[0]) for p, q in zip(want, want[1:])]
+    assert sorted((r["run_start"], r["run_end"]) for r in intervals.merge_intervals(df, "owner").collect()) == clash
+    # the same functions, ten rows at a time
+    table = pa.table({"entity": ["h"] * 500, "cell": [0] * 500, "s": pa.array([i % 97 * 3 for i in range(500)], pa.int32()), "e": pa.array([i % 97 * 3 + 2 for i in range(500)], pa.int32())})
+    whole = intervals._cell_runs(table, 16, False).to_pydict()
+    pieces = list(intervals._pieces(16, False, 10)(iter(table.to_batches(max_chunksize=7))))
+    assert len(pieces) == 1 and pieces[0].to_pydict() == whole
+    before = pa.Table.from_batches(intervals._before(16, False, 100)(iter(table.to_batches(max_chunksize=7))))
+    assert before.num_rows < 500 and intervals._cell_runs(before, 16, False).to_pydict()["run_start"] == whole["run_start"]
+
+
 def test_intervals_long_and_hot(spark):
     """Intervals over many cells, and one entity with most rows."""
     df = spark.createDataFrame([("e", 0, 1 << 20), ("e", (1 << 20) + 5, (1 << 20) + 6), ("f", 3, 3), ("f", 9, 4)], "entity string, s bigint, e bigint")
