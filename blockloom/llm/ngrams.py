@@ -122,7 +122,7 @@ def fold_counts(words: DataFrame, grams: Callable[[str], Iterable[str]], most: i
 
     placed = exact.repartition(CHUNKS, F.shiftrightunsigned("gram", 64 - REST_BITS))  # a cell lies in one part
     own, logs, rest = [np.empty(0, np.uint64)], [np.empty(0, np.uint16)], np.zeros(1 << REST_BITS, np.uint16)
-    for r in placed.mapInArrow(pack, "a binary, b binary, c binary, d binary").toLocalIterator():  # at most CHUNKS rows
+    for r in placed.mapInArrow(pack, "a binary, b binary, c binary, d binary").collect():  # at most CHUNKS rows, ten bytes a gram held
         a, b, c, d = (np.frombuffer(zlib.decompress(x), t) for x, t in zip(r, (np.uint64, np.uint16, np.uint32, np.uint16)))
         own.append(a)
         logs.append(b)
