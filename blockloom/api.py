@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import io
 from functools import cached_property
 
@@ -10,20 +11,27 @@ from pyspark.sql import functions as F
 
 from blockloom.functions import decode as D
 from blockloom.operators import files as FL
+from blockloom.operators import journal as J
 from blockloom.operators import metadata as M
 from blockloom.session import cut
-from blockloom.sources.extimage import read_image
+from blockloom.sources.extimage import Image, read_image
 
 
 class FileHandle(io.RawIOBase):
-    """A seekable, read-only file over range reads; wrap it in ``io.BufferedReader`` for small reads."""
+    """A seekable, read-only file. The places of its parts are fetched once, one row per run of blocks; reads then go straight to the image, a window of ``window`` bytes at a time."""
 
-    def __init__(self, images: ImageSet, path: str, image_id: str | None = None):
+    def __init__(self, images: ImageSet, path: str, image_id: str | None = None, window: int = 1 << 20):
         super().__init__()
-        self._images, self._path, self._id, self._at = images, path, image_id, 0
-        if not images.is_file(path, image_id):
+        row = images._one(path, image_id, RuntimeError)
+        if row["file_type_str"] != "file":
             raise RuntimeError(f"{path} is no regular file")
-        self.name, self.length = path, images.get_file_size(path, image_id)
+        self.name, self.length, self._at, self._window = path, row["size"], 0, window
+        one = images.get(path, row["image_id"]).limit(1)
+        parts = FL.file_part(one, images.runs).where("not sparse").select("running_start", "byte_len", "byte_start").orderBy("running_start").collect()  # a row per run of blocks of one file
+        self._starts = [p["running_start"] for p in parts]
+        self._parts = [tuple(p) for p in parts]
+        self._image = Image(row["image_path"], images.offset)
+        self._held: tuple[int, bytes] = (0, b"")
 
     def __len__(self) -> int:
         return self.length
@@ -44,13 +52,36 @@ class FileHandle(io.RawIOBase):
         self._at = at
         return at
 
+    def _fetch(self, start: int, n: int) -> bytes:
+        out = bytearray(n)
+        k = max(0, bisect.bisect_right(self._starts, start) - 1)
+        while k < len(self._parts) and self._parts[k][0] < start + n:
+            first, size, place = self._parts[k]
+            a, b = max(first, start), min(first + size, start + n)
+            if a < b:
+                data = self._image.read(place + a - first, b - a)
+                out[a - start : a - start + len(data)] = data
+            k += 1
+        return bytes(out)
+
     def read(self, count: int | None = -1) -> bytes:
         if count is not None and count < -1:
             raise ValueError("count must not be below -1")
         left = max(0, self.length - self._at)
         n = left if count is None or count == -1 else min(count, left)
-        data = self._images.read_range(self._path, self._at, n, self._id) if n else b""
-        self._at += len(data)
+        if not n:
+            return b""
+        start, held = self._held
+        if not (start <= self._at and self._at + n <= start + len(held)):
+            if n >= self._window:
+                data = self._fetch(self._at, n)
+                self._at += n
+                return data
+            start = self._at // self._window * self._window
+            size = self._at + n - start if self._at + n > start + self._window else self._window
+            self._held = start, held = start, self._fetch(start, min(size, self.length - start))
+        data = held[self._at - start : self._at - start + n]
+        self._at += n
         return data
 
     def readinto(self, buffer) -> int:
@@ -62,14 +93,15 @@ class FileHandle(io.RawIOBase):
 class ImageSet:
     """Every attribute is a DataFrame over all images; lookups by path take ``image_id`` if there are several images.
 
-    Paths are absolute (``/dir/file``; a missing leading slash is accepted). The root directory has no row.
+    Paths are absolute (``/dir/file``; a missing leading slash is accepted). The root directory has no row. With ``permissive`` unreadable images
+    give no rows, and ``status`` says why; else they are an error.
     """
 
-    def __init__(self, spark: SparkSession, path: str, master_offset: int = 0, magic_ignore: bool = False):
-        self.spark, self.path, self.offset, self._ignore = spark, path, master_offset, magic_ignore
+    def __init__(self, spark: SparkSession, path: str, master_offset: int = 0, magic_ignore: bool = False, permissive: bool = False):
+        self.spark, self.path, self.offset, self._ignore, self._permissive = spark, path, master_offset, magic_ignore, permissive
 
     def _raw(self, table: str) -> DataFrame:
-        return read_image(self.spark, self.path, table, self.offset, self._ignore)
+        return read_image(self.spark, self.path, table, self.offset, self._ignore, self._permissive)
 
     @cached_property
     def superblock(self) -> DataFrame:
@@ -83,6 +115,15 @@ class ImageSet:
     def block(self) -> DataFrame:
         return M.block(self._raw("bitmap"))
 
+    @cached_property
+    def _block_runs(self) -> DataFrame:
+        return M.bit_runs(self._raw("bitmap").where("kind = 'block'"))
+
+    @cached_property
+    def status(self) -> DataFrame:
+        """(image_id, image_path, n_bytes, error): every file under the path, and why it can't be read if it can't."""
+        return self._raw("status")
+
     @cached_property
     def inode_bitmap(self) -> DataFrame:
         return M.inode_bitmap(self._raw("bitmap"))
@@ -108,6 +149,10 @@ class ImageSet:
     def extent(self) -> DataFrame:
         return FL.extents(self._used, self.offset)
 
+    @cached_property
+    def extent_errors(self) -> DataFrame:
+        return FL.extent_errors(self._used, self.offset)
+
     @cached_property
     def inode_block(self) -> DataFrame:
         return FL.inode_block(self._used, self.offset)
@@ -132,10 +177,29 @@ class ImageSet:
     def file_content(self) -> DataFrame:
         return FL.file_content(self.entry, self.file_part, self.offset)
 
+    @cached_property
+    def file_piece(self) -> DataFrame:
+        """Contents by pieces of a few MiB; for files of any size."""
+        return FL.file_pieces(self.entry, self.file_part, self.offset)
+
     @cached_property
     def slack(self) -> DataFrame:
         return FL.slack(self.file_part, self.offset)
 
+    @cached_property
+    def journal(self) -> DataFrame:
+        """Journal superblocks."""
+        return J.journal_superblock(self.superblock, self._used, self.runs, self.offset)
+
+    @cached_property
+    def journal_record(self) -> DataFrame:
+        return J.journal_record(self.superblock, self._used, self.runs, self.offset)
+
+    @cached_property
+    def extent_checksum(self) -> DataFrame:
+        """Stored and computed checksums of extent nodes outside inodes, of images with metadata checksums."""
+        return FL.extent_checksums(self._used, self.superblock, self.offset)
+
     # -- filters -------------------------------------------------------------------------------------
 
     @property
@@ -172,11 +236,11 @@ class ImageSet:
 
     @property
     def unallocated_block_ranges(self) -> DataFrame:
-        return M.free_ranges(self.block)
+        return M.free_runs(self._block_runs)
 
     @property
     def group_usage(self) -> DataFrame:
-        return M.group_usage(self.block)
+        return M.run_usage(self._block_runs)
 
     @property
     def counts(self) -> DataFrame:

@@ -76,11 +76,10 @@ PERMISSIONS = {
 }
 SPECIAL_BITS = {"sticky": 0x200, "setgid": 0x400, "setuid": 0x800}
 
-#: Record kinds of the journal, declared only: (record, fields).
-JOURNAL_RECORDS = {
-    "superblock": ("version", "inode", "backup", "features", "size", "length", "sequence", "start"),
-    "descriptor": ("journal_block_number", "seq", "allocated", "sec", "fs_block"),
-    "fs": ("journal_block_number", "seq", "allocated", "fs_block"),
-    "commit": ("journal_block_number", "seq", "sec"),
-    "revoke": ("journal_block_number", "seq", "allocated"),
-}
+#: The journal: big-endian; (field, byte offset, width) of its superblock, and kinds of blocks.
+JOURNAL_MAGIC = 0xC03B3998
+JOURNAL_KINDS = {1: "descriptor", 2: "commit", 3: "superblock", 4: "superblock", 5: "revoke"}
+JOURNAL_SUPERBLOCK = (
+    ("version", 0x04, 4), ("block_size", 0x0C, 4), ("length", 0x10, 4), ("first", 0x14, 4), ("sequence", 0x18, 4), ("start", 0x1C, 4), ("errno", 0x20, 4), ("features_compat", 0x24, 4),
+    ("features_incompat", 0x28, 4), ("features_ro_compat", 0x2C, 4),
+)

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockloom.functions import decode as D
 from blockloom.functions import layout
+from blockloom.functions.crc import crc32c
 from blockloom.operators import hierarchy
 from blockloom.session import cut
 from blockloom.sources.extimage import read_ranges
@@ -21,58 +25,134 @@ MAX_DEPTH = 5
 READ_BYTES = 4 << 20
 
 
-def _node(data: Column | str, base: int = 0) -> Column:
-    """Header of an extent node."""
-    return F.struct(
-        D.le(data, base, 2).alias("magic"), D.le(data, base + 2, 2).cast("int").alias("entries"), D.le(data, base + 6, 2).cast("int").alias("depth")
-    )
-
-
-def _records(data: str, slots: Column) -> Column:
-    """(a, b, c) of each 12-byte record of an extent node, undecoded until known to be leaf or index."""
-    return F.transform(
-        F.sequence(F.lit(1), slots),
-        lambda k: F.substring(F.col(data), k * 12 + 1, F.lit(12)),
-    )
+_NODE = "image_id string, inode_number bigint, image_path string, block_size int, node_block bigint, magic int, depth int, a bigint, b bigint, start bigint, child bigint"
+_NODE_TYPE = np.dtype([("logical", "<u4"), ("length", "<u2"), ("start_hi", "<u2"), ("start_lo", "<u4")])
 
 
-def extents(inodes: DataFrame, master_offset: int = 0) -> DataFrame:
-    """(image_id, inode_number, node_block, depth, ee_block, ee_len, ee_start, initialized) of all leaves; trees are descended level by level."""
+def _parse_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of extent nodes: of a leaf its length (b) and start, of an index node its child; a node without the magic number gives one row with that number and no depth."""
+    names = [f.split(" ")[0] for f in _NODE.split(", ")]
+    types = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+    for batch in batches:
+        own, found, lengths, heads = [], [], [], []
+        for i, data in enumerate(batch.column("content").to_pylist()):
+            data = data or b""
+            magic, entries, _, depth = struct.unpack_from("<HHHH", data) if len(data) >= 12 else (0, 0, 0, 0)
+            if magic != layout.EXTENT_MAGIC:
+                own.append(i)
+                found.append(np.zeros(1, _NODE_TYPE))
+                lengths.append(1)
+                heads.append((magic, -1))
+                continue
+            n = min(entries, len(data) // 12 - 1)
+            if n > 0:
+                own.append(i)
+                found.append(np.frombuffer(data, _NODE_TYPE, n, 12))
+                lengths.append(n)
+                heads.append((magic, depth))
+        if not own:
+            continue
+        rec = np.concatenate(found)
+        take = pa.array(np.repeat(own, lengths))
+        magic, depth = (np.repeat(np.array(x, np.int32), lengths) for x in zip(*heads))
+        hi, lo = rec["start_hi"].astype(np.int64), rec["start_lo"].astype(np.int64)
+        # an index record has the low word of its child where a leaf has length and high word, and the high word after it
+        child = rec["length"].astype(np.int64) | hi << 16 | (lo & 0xFFFF) << 32
+        same = [batch.column(c).take(take) for c in ("image_id", "inode_number", "image_path", "block_size", "node_block")]
+        values = (magic, depth, rec["logical"].astype(np.int64), rec["length"].astype(np.int64), hi << 32 | lo, child)
+        yield pa.RecordBatch.from_arrays([*same, pa.array(magic), pa.array(depth, mask=depth < 0), *[pa.array(v) for v in values[2:]]], names=names)
+    yield pa.RecordBatch.from_arrays([pa.array([], t) for t in types], names=names)
+
+
+def _nodes(level: DataFrame) -> DataFrame:
+    return level.select(*KEY, "image_path", "block_size", "node_block", "content").mapInArrow(_parse_nodes, _NODE)
+
+
+def _extent_levels(inodes: DataFrame, master_offset: int) -> list[DataFrame]:
+    """Records of the nodes of each level, from the root nodes in the inodes downwards."""
     level = inodes.where("uses_extents and not unsupported").select(
         *KEY, "image_path", "block_size", F.lit(0).cast("bigint").alias("node_block"), F.col("i_block").alias("content")
     )
-    leaves: DataFrame | None = None
+    out = []
     for _ in range(MAX_DEPTH + 1):
-        head = level.select("*", _node("content").alias("h")).where((F.col("h.magic") == layout.EXTENT_MAGIC) & (F.col("h.entries") > 0))
-        slots = F.least(F.col("h.entries"), F.floor(F.length("content") / 12).cast("int") - 1)
-        rows = head.where(slots > 0).select(*KEY, "image_path", "block_size", "node_block", F.col("h.depth").alias("depth"), F.explode(_records("content", slots)).alias("rec"))
-        length = D.le("rec", 4, 2)
-        leaf = rows.where("depth = 0").select(
-            *KEY, "node_block", "depth", D.le("rec", 0, 4).alias("ee_block"),
-            F.when(length > 32768, length - 32768).otherwise(length).cast("int").alias("ee_len"),
-            (D.le("rec", 6, 2) * F.lit(1 << 32) + D.le("rec", 8, 4)).alias("ee_start"),
-            (length <= 32768).alias("initialized"),
-        )
-        leaves = leaf if leaves is None else leaves.unionByName(leaf)
-        down = cut(
-            rows.where("depth > 0").select(*KEY, "image_path", "block_size", (D.le("rec", 8, 2) * F.lit(1 << 32) + D.le("rec", 4, 4)).alias("node_block"))
-        )
+        rows = cut(_nodes(level))
+        out.append(rows)
+        down = rows.where("depth > 0").select(*KEY, "image_path", "block_size", F.col("child").alias("node_block"))
         if down.isEmpty():
             break
-        wanted = down.select(*KEY, "image_path", "block_size", "node_block", (F.col("node_block") * F.col("block_size")).alias("byte_at"), F.col("block_size").cast("bigint").alias("byte_len"))
-        level = cut(read_ranges(wanted.repartition("image_path", "node_block"), master_offset).select(*KEY, "image_path", "block_size", "node_block", "content"))
-    return leaves
+        wanted = down.select("*", (F.col("node_block") * F.col("block_size")).alias("byte_at"), F.col("block_size").cast("bigint").alias("byte_len"))
+        level = read_ranges(wanted.repartition("image_path", "node_block"), master_offset)
+    return out
 
 
-def _pointers(data: str, n: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(k.alias("k"), D.le(data, k * 4, 4).alias("p")))
+def extents(inodes: DataFrame, master_offset: int = 0) -> DataFrame:
+    """(image_id, inode_number, node_block, depth, ee_block, ee_len, ee_start, initialized) of all leaves; trees are descended level by level."""
+    rows = reduce(DataFrame.unionByName, _extent_levels(inodes, master_offset)).where("depth = 0")
+    long = F.col("b") > 32768
+    return rows.select(*KEY, "node_block", "depth", F.col("a").alias("ee_block"), F.when(long, F.col("b") - 32768).otherwise(F.col("b")).cast("int").alias("ee_len"), F.col("start").alias("ee_start"), (~long).alias("initialized"))
+
+
+def extent_errors(inodes: DataFrame, master_offset: int = 0) -> DataFrame:
+    """(image_id, inode_number, node_block, magic) of extent nodes without the magic number; what hangs on them is missing from ``extents``."""
+    return reduce(DataFrame.unionByName, _extent_levels(inodes, master_offset)).where("depth is null").select(*KEY, "node_block", "magic")
+
+
+def extent_checksums(inodes: DataFrame, superblocks: DataFrame, master_offset: int = 0) -> DataFrame:
+    """(image_id, inode_number, node_block, stored, computed, valid) of the extent nodes outside inodes, in images with metadata checksums.
+
+    The checksum covers the seed of the file system, inode number, generation and the node up to its tail, which stands behind the records the node has room for.
+    """
+    seed = superblocks.where(F.col("ro_compat.METADATA_CSUM")).select("image_id", F.when(F.col("incompat.CSUM_SEED"), F.col("s_checksum_seed")).alias("_seed"), "s_uuid")
+    tree = inodes.join(seed, "image_id")
+    nodes = [rows.where("depth > 0").select(*KEY, "image_path", "block_size", F.col("child").alias("node_block")) for rows in _extent_levels(tree, master_offset)]
+    wanted = reduce(DataFrame.unionByName, nodes).join(tree.select(*KEY, "i_generation", "_seed", "s_uuid"), list(KEY))
+    read = read_ranges(wanted.select("*", (F.col("node_block") * F.col("block_size")).alias("byte_at"), F.col("block_size").cast("bigint").alias("byte_len")), master_offset)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("inode_number", "i_generation", "_seed", "s_uuid", "content")
+        for batch in batches:
+            stored, computed = [], []
+            for number, generation, start, identifier, data in zip(*(batch.column(n).to_pylist() for n in names)):
+                room = struct.unpack_from("<H", data, 4)[0]
+                end = min(12 + 12 * room, len(data) - 4)
+                base = crc32c(identifier) if start is None else start
+                stored.append(struct.unpack_from("<I", data, end)[0])
+                computed.append(crc32c(data[:end], crc32c(struct.pack("<II", number, generation), base)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("image_id"), batch.column("inode_number"), batch.column("node_block"), pa.array(stored, pa.int64()), pa.array(computed, pa.int64())], names=["image_id", "inode_number", "node_block", "stored", "computed"]
+            )
+
+    sums = read.mapInArrow(run, "image_id string, inode_number bigint, node_block bigint, stored bigint, computed bigint")
+    return sums.withColumn("valid", F.col("stored") == F.col("computed"))
+
+
+def _pointers(frame: DataFrame, kept: str, column: str) -> DataFrame:
+    """``kept`` columns and (k, p) of the pointers other than zero in the bytes of ``column``."""
+    names = kept.split(" ")
+    fields = ", ".join(f"`{n}` {frame.schema[n].dataType.simpleString()}" for n in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                b = batch.slice(at, 512)
+                row, k, p = [], [], []
+                for i, data in enumerate(b.column(column).to_pylist()):
+                    v = np.frombuffer(data, "<u4", len(data) // 4)
+                    own = np.flatnonzero(v)
+                    row.append(np.full(len(own), i))
+                    k.append(own)
+                    p.append(v[own].astype(np.int64))
+                take = pa.array(np.concatenate(row).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([*[b.column(n).take(take) for n in names], pa.array(np.concatenate(k).astype(np.int64)), pa.array(np.concatenate(p))], names=[*names, "k", "p"])
+
+    return frame.select(*names, column).mapInArrow(run, f"{fields}, k bigint, p bigint")
 
 
 def mapped_blocks(inodes: DataFrame, master_offset: int = 0) -> DataFrame:
     """(image_id, inode_number, logical_block, physical_block) of block-mapped inodes; zero pointers are holes and give no row."""
     base = inodes.where("not uses_extents and not unsupported and i_mode <> 0 and (i_blocks_lo > 0) and not (file_type in ('character_device', 'block_device', 'fifo', 'socket'))")
     base = base.where("not (file_type = 'symlink' and i_size_lo < 60)")
-    slots = base.select(*KEY, "image_path", "block_size", F.explode(_pointers("i_block", F.lit(15))).alias("s")).select(*KEY, "image_path", "block_size", "s.*").where("p <> 0")
+    slots = cut(_pointers(base, "image_id inode_number image_path block_size", "i_block"))
     per = F.expr("block_size div 4").cast("bigint")
     out = slots.where("k < 12").select(*KEY, F.col("k").cast("bigint").alias("logical_block"), F.col("p").alias("physical_block"))
     first = F.when(F.col("k") == 12, F.lit(12)).when(F.col("k") == 13, 12 + per).otherwise(12 + per + per * per)
@@ -83,9 +163,9 @@ def mapped_blocks(inodes: DataFrame, master_offset: int = 0) -> DataFrame:
             break
         wanted = level.select("*", (F.col("p") * F.col("block_size")).alias("byte_at"), F.col("block_size").cast("bigint").alias("byte_len"))
         read = read_ranges(wanted.repartition("image_path", "p"), master_offset)
-        below = read.select(*KEY, "image_path", "block_size", "height", "first", F.explode(_pointers("content", per.cast("int"))).alias("s")).where("s.p <> 0")
+        below = _pointers(read, "image_id inode_number image_path block_size height first", "content")
         span = F.when(F.col("height") == 1, F.lit(1)).when(F.col("height") == 2, per).otherwise(per * per)
-        below = cut(below.select(*KEY, "image_path", "block_size", (F.col("height") - 1).alias("height"), (F.col("first") + F.col("s.k") * span).alias("first"), F.col("s.p").alias("p")))
+        below = cut(below.select(*KEY, "image_path", "block_size", (F.col("height") - 1).alias("height"), (F.col("first") + F.col("k") * span).alias("first"), "p"))
         out = out.unionByName(below.where("height = 0").select(*KEY, F.col("first").alias("logical_block"), F.col("p").alias("physical_block")))
         level = below.where("height > 0")
     return out
@@ -118,24 +198,41 @@ _DIRENT = "image_id string, dir_inode bigint, ordinal bigint, inode bigint, rec_
 
 
 def _parse_dirents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records of directory blocks; each block is parsed on its own, by record length, up to its end."""
+    """Records of directory blocks; each block is parsed on its own, by record length, up to its end. In blocks of 64 KiB and more a length's low bits are its high ones, and 0 or 65535 means the whole block."""
     names = [f.split(" ")[0] for f in _DIRENT.split(", ")]
-    types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+    head = struct.Struct("<IHBB").unpack_from
     for batch in batches:
-        rows: list[tuple] = []
-        cols = (batch.column(c).to_pylist() for c in ("image_id", "inode_number", "logical_block", "byte_at", "filetype", "content"))
-        for image, directory, logical, start, typed, data in zip(*cols):
-            at, slot = 0, 0
-            while at + 8 <= len(data):
-                number, size = struct.unpack_from("<IH", data, at)
-                length, kind = (data[at + 6], data[at + 7]) if typed else (struct.unpack_from("<H", data, at + 6)[0], None)
-                if size < 8 or size % 4 or at + size > len(data):
-                    break
-                if 0 < length <= size - 8:
-                    rows.append((image, directory, logical << 16 | slot, number, size, length, kind, data[at + 8 : at + 8 + length], start + at, start + at + size))
-                    slot += 1
-                at += size
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names=names)
+        for lo in range(0, batch.num_rows, 4096):
+            b = batch.slice(lo, 4096)
+            block, ordinal, inode, rec, lengths, kinds, raw, begin = ([] for _ in range(8))
+            for i, (logical, start, typed, data) in enumerate(zip(*(b.column(c).to_pylist() for c in ("logical_block", "byte_at", "filetype", "content")))):
+                at, slot, end = 0, 0, len(data)
+                while at + 8 <= end:
+                    number, size, length, kind = head(data, at)
+                    if end >= 65536:
+                        size = end if size in (0, 65535) else (size & 65532) | (size & 3) << 16
+                    if not typed:
+                        length, kind = length | kind << 8, None
+                    if size < 8 or size % 4 or at + size > end:
+                        break
+                    if 0 < length <= size - 8:
+                        block.append(i)
+                        ordinal.append(logical << 16 | slot)
+                        inode.append(number)
+                        rec.append(size)
+                        lengths.append(length)
+                        kinds.append(kind)
+                        raw.append(data[at + 8 : at + 8 + length])
+                        begin.append(start + at)
+                        slot += 1
+                    at += size
+            take = pa.array(block, pa.int64())
+            first, size = pa.array(begin, pa.int64()), pa.array(rec, pa.int32())
+            columns = [
+                b.column("image_id").take(take), b.column("inode_number").take(take), pa.array(ordinal, pa.int64()), pa.array(inode, pa.int64()), size, pa.array(lengths, pa.int32()), pa.array(kinds, pa.int32()),
+                pa.array(raw, pa.binary()), first, pc.add(first, size.cast(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def dirent(inodes: DataFrame, runs: DataFrame, master_offset: int = 0) -> DataFrame:
@@ -243,6 +340,42 @@ def _read_parts(parts: DataFrame, start: Column, end: Column, master_offset: int
     return read.groupBy("image_id", "full_path").agg(F.expr("listagg(content) within group (order by _at)").alias("content"))
 
 
+def file_pieces(entries: DataFrame, parts: DataFrame, master_offset: int = 0, piece_bytes: int = READ_BYTES) -> DataFrame:
+    """(image_id, full_path, piece, piece_start, n_bytes, content) of regular files of any size: ``content`` holds bytes ``[piece_start, piece_start + n_bytes)``, null where all of them lie in holes.
+
+    No row holds more than ``piece_bytes`` bytes, so a file larger than a binary value can be is read like any other. An empty file has no piece.
+    """
+    step = F.lit(piece_bytes).cast("bigint")
+    data = parts.where("not sparse").select("image_id", "full_path", "image_path", "byte_start", "running_start", (F.col("running_start") + F.least("byte_len", F.col("data_len"))).alias("_end")).where("_end > running_start")
+    cutup = data.select("*", F.explode(F.sequence(F.expr(f"running_start div {piece_bytes}"), F.expr(f"(_end - 1) div {piece_bytes}"))).alias("piece"))
+    a, b = F.greatest("running_start", F.col("piece") * step), F.least("_end", (F.col("piece") + 1) * step)
+    wanted = cutup.select("image_id", "full_path", "piece", "image_path", a.alias("_at"), (F.col("byte_start") + a - F.col("running_start")).alias("byte_at"), (b - a).alias("byte_len"))
+    read = read_ranges(wanted.repartition("image_path", "full_path", "piece"), master_offset)
+    files = entries.where("file_type_str = 'file' and size > 0").select("image_id", "full_path", "size")
+    every = files.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(size - 1) div {piece_bytes}"))).alias("piece"))
+    sized = every.select("image_id", "full_path", "piece", (F.col("piece") * step).alias("piece_start"), F.least(step, F.col("size") - F.col("piece") * step).alias("n_bytes"))
+    laid = read.groupBy("image_id", "full_path", "piece").agg(F.collect_list(F.struct("_at", "content")).alias("_parts"))
+    joined = sized.join(laid, ["image_id", "full_path", "piece"], "left")
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 8):
+                b = batch.slice(k, 8)
+                out = []
+                for start, n, own in zip(b.column("piece_start").to_pylist(), b.column("n_bytes").to_pylist(), b.column("_parts").to_pylist()):
+                    if own is None:
+                        out.append(None)
+                        continue
+                    buffer = bytearray(n)
+                    for part in own:
+                        at = part["_at"] - start
+                        buffer[at : at + len(part["content"])] = part["content"]
+                    out.append(bytes(buffer))
+                yield pa.record_batch({**{c: b.column(c) for c in ("image_id", "full_path", "piece", "piece_start", "n_bytes")}, "content": pa.array(out, pa.binary())})
+
+    return joined.mapInArrow(fill, "image_id string, full_path string, piece bigint, piece_start bigint, n_bytes bigint, content binary")
+
+
 def file_content(entries: DataFrame, parts: DataFrame, master_offset: int = 0, limit: int | None = None) -> DataFrame:
     """(image_id, full_path, content) of regular files; ``limit`` takes the first bytes only."""
     end = F.col("size") if limit is None else F.least(F.col("size"), F.lit(limit))

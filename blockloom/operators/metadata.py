@@ -1,7 +1,11 @@
-"""Superblocks, groups, bitmaps and inodes of images as relations, decoded by Catalyst expressions."""
+"""Superblocks, groups, bitmaps and inodes of images as relations; what derives from decoded fields is a Catalyst expression, runs of bits are read off the packed bitmaps."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,16 +37,7 @@ def superblock(raw: DataFrame) -> DataFrame:
 
 
 def group_desc(raw: DataFrame) -> DataFrame:
-    def field(low: int, width: int, high: int | None) -> Column:
-        value = D.le("raw", low, width)
-        return value if high is None else value + F.when(F.col("desc_size") >= 64, D.le("raw", high, width)).otherwise(0) * F.lit(1 << (8 * width))
-
-    # a 32-byte descriptor has no high halves: pad, so that their decoding stays defined under ANSI
-    wide = raw.withColumn("raw", F.rpad(F.col("raw"), F.lit(64), F.unhex(F.lit("00"))))
-    out = wide.select(
-        "image_id", "image_path", "group_number", "block_size", "first_data_block", "blocks_count", "blocks_per_group", "inodes_per_group", (F.col("desc_size") * 8).alias("bits"),
-        *[field(lo, w, hi).alias(n) for n, lo, w, hi in layout.GROUP],
-    )
+    out = raw.withColumn("bits", F.col("desc_size") * 8).drop("desc_size")
     start = F.col("first_data_block") + F.col("group_number") * F.col("blocks_per_group")
     return out.select(
         "*",
@@ -57,18 +52,61 @@ def group_desc(raw: DataFrame) -> DataFrame:
     )
 
 
+def _bits(raw: bytes, n: int) -> np.ndarray:
+    """The first ``n`` bits, least significant first; missing bytes are zero."""
+    return np.unpackbits(np.frombuffer(raw.ljust(-(-n // 8), b"\0"), np.uint8), bitorder="little")[:n]
+
+
 def explode_bits(bitmaps: DataFrame, number: str) -> DataFrame:
     """(image_id, group_number, number, allocated): a row per bit of ``bits``, least significant first, up to ``n_bits``."""
-    # bytes first, then the 8 bits of each: arrays stay short whatever the bitmap's size
-    per_byte = bitmaps.where(F.col("n_bits") > 0).select(
-        "image_id", "group_number", "first_number", "n_bits", "bits", F.explode(F.sequence(F.lit(0), F.expr("(n_bits - 1) div 8").cast("int"))).alias("_byte")
-    )
-    value = F.conv(F.hex(F.substring(F.col("bits"), F.col("_byte") + 1, F.lit(1))), 16, 10).cast("int").alias("_value")
-    per_bit = per_byte.select("image_id", "group_number", "first_number", "n_bits", "_byte", value).select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("_bit"))
-    at = F.col("_byte") * 8 + F.col("_bit")
-    return per_bit.where(at < F.col("n_bits")).select(
-        "image_id", "group_number", (F.col("first_number") + at).alias(number), (F.call_function("getbit", F.col("_value"), F.col("_bit")) == 1).alias("allocated")
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for image, group, first, n, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                if n > 0:
+                    used = _bits(raw, n).astype(bool)
+                    same = [pa.repeat(pa.scalar(v, t), n) for v, t in ((image, pa.string()), (group, pa.int32()))]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(first + np.arange(n, dtype=np.int64)), pa.array(used)], names=["image_id", "group_number", number, "allocated"])
+
+    own = bitmaps.select("image_id", F.col("group_number").cast("int"), F.col("first_number").cast("bigint"), "n_bits", "bits")
+    return own.mapInArrow(run, f"image_id string, group_number int, {number} bigint, allocated boolean")
+
+
+def bit_runs(bitmaps: DataFrame) -> DataFrame:
+    """(image_id, group_number, range_start, range_end, allocated, first, last): runs of equal bits of each bitmap, read off the packed bits; ``first`` and ``last`` tell the runs at its ends."""
+    names = ["image_id", "group_number", "range_start", "range_end", "allocated", "first", "last"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for image, group, start, n, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                if n > 0:
+                    used = _bits(raw, n)
+                    at = np.concatenate([[0], np.flatnonzero(np.diff(used)) + 1]).astype(np.int64)
+                    end = np.append(at[1:], n) - 1
+                    k = len(at)
+                    same = [pa.repeat(pa.scalar(v, t), k) for v, t in ((image, pa.string()), (group, pa.int32()))]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(start + at), pa.array(start + end), pa.array(used[at].astype(bool)), pa.array(at == 0), pa.array(end == n - 1)], names=names)
+
+    own = bitmaps.select("image_id", F.col("group_number").cast("int"), F.col("first_number").cast("bigint"), "n_bits", "bits")
+    return own.mapInArrow(run, "image_id string, group_number int, range_start bigint, range_end bigint, allocated boolean, first boolean, last boolean")
+
+
+def run_usage(runs: DataFrame) -> DataFrame:
+    """(image_id, group_number, allocated, unallocated) from runs of bits."""
+    n = F.col("range_end") - F.col("range_start") + 1
+    total = lambda c: F.sum(F.when(c, n).otherwise(0)).alias
+    return runs.groupBy("image_id", "group_number").agg(total(F.col("allocated"))("allocated"), total(~F.col("allocated"))("unallocated"))
+
+
+def free_runs(runs: DataFrame) -> DataFrame:
+    """(image_id, range_start, range_end, n) of free numbers: only the runs at the ends of a bitmap can go on in another one, so at most two rows a group meet in a window."""
+    free = runs.where(~F.col("allocated"))
+    edge = F.col("first") | F.col("last")
+    by = Window.partitionBy("image_id").orderBy("range_start")
+    edges = free.where(edge).withColumn("_new", F.coalesce(F.col("range_start") - F.lag("range_end").over(by) > 1, F.lit(True)).cast("int")).withColumn("_i", F.sum("_new").over(by))
+    joined = edges.groupBy("image_id", "_i").agg(F.min("range_start").alias("range_start"), F.max("range_end").alias("range_end")).drop("_i")
+    out = joined.unionByName(free.where(~edge).select("image_id", "range_start", "range_end"))
+    return out.withColumn("n", F.col("range_end") - F.col("range_start") + 1)
 
 
 def block(bitmaps: DataFrame) -> DataFrame:
@@ -80,13 +118,7 @@ def inode_bitmap(bitmaps: DataFrame) -> DataFrame:
 
 
 def inode(raw: DataFrame) -> DataFrame:
-    fields = [D.le("raw", at, w).alias(n) for n, at, w in layout.INODE if n not in ("uid_high", "gid_high")]
-    high = [D.le("raw", at, w).alias(n) for n, at, w in layout.INODE if n in ("uid_high", "gid_high")]
-    at, width = layout.I_BLOCK
-    out = raw.select(
-        "image_id", "image_path", "inode_number", "group_number", "allocated", "byte_start", "block_size", "filetype", *fields, *high,
-        D.raw("raw", at, width).alias("i_block"), D.raw("raw", 0x74, 12).alias("union_osd2"),
-    )
+    out = raw
     kind = D.mode_type("i_mode")
     nothing = ~F.col("allocated") & D.has("i_flags", 0x81000).__invert__()
     for n, _, _ in layout.INODE[:11]:
@@ -141,5 +173,3 @@ def islands(units: DataFrame, number: str, entity: str = "image_id", group: str
     return out.withColumn("n", F.col("range_end") - F.col("range_start") + 1)
 
 
-def free_ranges(blocks: DataFrame) -> DataFrame:
-    return islands(blocks.where(~F.col("allocated")), "block_number")

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
+import struct
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +17,7 @@ from blockloom.functions import layout
 from blockloom.operators import files as FL
 from blockloom.operators import metadata as M
 from blockloom.session import read_table
+from blockloom.sources.extimage import inode_columns
 
 
 def _live(spark: SparkSession, d: str, *more: str) -> DataFrame:
@@ -131,9 +139,12 @@ def inode_to_group(spark: SparkSession, d: str) -> DataFrame:
 
 
 def block_to_group(spark: SparkSession, d: str) -> DataFrame:
-    rows = read_table(spark, d, "extent", "extent_id", "ee_start_hi", "ee_start_lo").where("ee_start_lo is not null").dropDuplicates(["extent_id"])
+    """Group of each extent's first block; a group has as many blocks as a bitmap block has bits, the first data block is 1 where blocks have 1 KiB."""
+    bs = read_table(spark, d, "superblock", "image_id", "block_size").dropDuplicates(["image_id"])
+    rows = read_table(spark, d, "extent", "extent_id", "image_id", "ee_start_hi", "ee_start_lo").where("ee_start_lo is not null").dropDuplicates(["extent_id"])
     block = F.col("ee_start_hi").cast("bigint") * F.lit(1 << 32) + F.col("ee_start_lo")
-    return rows.select("extent_id", block.alias("physical"), F.floor(block / 32768).cast("bigint").alias("group_number"), D.hex_text(block).alias("physical_hex"))
+    first = F.when(F.col("block_size") == 1024, 1).otherwise(0)
+    return rows.join(bs, "image_id").select("extent_id", block.alias("physical"), M.block_group(block, first, 8 * F.col("block_size")).alias("group_number"), D.hex_text(block).alias("physical_hex"))
 
 
 def group_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -211,15 +222,83 @@ def uninitialized_extents(spark: SparkSession, d: str) -> DataFrame:
 
 def slack(spark: SparkSession, d: str) -> DataFrame:
     bs = read_table(spark, d, "superblock", "image_id", "block_size").dropDuplicates(["image_id"])
-    rows = _inodes(spark, d, "size", "file_type").where("file_type = 'file' and size > 0")
-    return rows.join(bs, "image_id").select("image_id", "inode_number", ((F.col("block_size") - F.col("size") % F.col("block_size")) % F.col("block_size")).cast("bigint").alias("slack_size"))
+    rows = _inodes(spark, d, "size", "file_type").where("file_type = 'file' and size > 0").join(bs, "image_id")
+    whole = F.expr("(size + block_size - 1) div block_size * block_size")
+    parts = rows.select("image_id", F.col("inode_number").cast("string").alias("full_path"), "size", F.lit(0).cast("bigint").alias("running_start"), whole.alias("byte_len"))
+    return FL.slack(parts, content=False).select("image_id", F.col("full_path").cast("bigint").alias("inode_number"), "slack_size")
+
+
+_RAW_INODE = ("i_mode", "i_uid", "size", "i_atime", "i_ctime", "i_mtime", "i_dtime", "i_gid", "i_links_count", "i_blocks_lo", "i_flags", "i_generation")
+
+
+def _decoded_inodes(spark: SparkSession, d: str) -> DataFrame:
+    """The table's inodes written as raw records of the disk and decoded again."""
+    where = {n: (o, w) for n, o, w in layout.INODE}
+    columns = ("image_id", "inode_number", "allocated")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = np.zeros((batch.num_rows, 128), np.uint8)
+            for name in _RAW_INODE:
+                v = batch.column(name).cast(pa.int64()).fill_null(0).to_numpy()
+                for field, part in (("i_size_lo", v & 0xFFFFFFFF), ("i_size_high", v >> 32)) if name == "size" else ((name, v),):
+                    at, width = where[field]
+                    raw[:, at : at + width] = part.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+            fields = inode_columns(raw.tobytes(), 128)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *fields.values()], names=[*columns, *fields])
+
+    rows = _inodes(spark, d, "allocated", *_RAW_INODE)
+    schema = "image_id string, inode_number bigint, allocated boolean, " + ", ".join(f"{n} bigint" for n, _, _ in layout.INODE) + ", i_block binary, union_osd2 binary"
+    return M.inode(rows.mapInArrow(run, schema))
+
+
+def inode_decode(spark: SparkSession, d: str) -> DataFrame:
+    names = [n for n in _RAW_INODE if n != "size"]
+    return _decoded_inodes(spark, d).select("image_id", "inode_number", *names, "size", F.col("file_type").alias("kind"), "uses_extents", "index_fl", "perm.setuid", "perm.user.write")
 
 
 def zeroed_filter(spark: SparkSession, d: str) -> DataFrame:
-    names = ("allocated", "i_mode", "i_uid", "i_gid", "size", "i_atime", "i_ctime", "i_mtime", "i_dtime", "i_links_count", "i_blocks_lo", "i_flags")
-    rows = _inodes(spark, d, *names)
-    zero = (F.coalesce("i_uid", F.lit(0)) == 0) & (F.col("i_dtime") == 0)
-    return rows.groupBy("image_id", "allocated").agg(F.count_if(zero).alias("n_plain"), F.count("*").alias("n_all"))
+    """Inodes that were never used, by allocation."""
+    return _decoded_inodes(spark, d).groupBy("image_id", "allocated").agg(F.count_if("zeroed").alias("n_zeroed"), F.count("*").alias("n_all"))
+
+
+def superblock_decode(spark: SparkSession, d: str) -> DataFrame:
+    """The table's superblocks written as raw blocks and decoded again."""
+    names = ("image_id", "s_volume_name", "s_uuid", "s_log_block_size", "s_inodes_count", "s_first_ino", "s_inodes_per_group", "s_blocks_count", "s_feature_incompat", "s_mkfs_time")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                sb = bytearray(1024)
+                put = lambda form, at, v, sb=sb: struct.pack_into(form, sb, at, v)
+                put("<I", 0x00, r["s_inodes_count"])
+                put("<I", 0x04, r["s_blocks_count"] & 0xFFFFFFFF)
+                put("<I", 0x150, r["s_blocks_count"] >> 32)
+                put("<I", 0x18, r["s_log_block_size"])
+                put("<I", 0x28, r["s_inodes_per_group"])
+                put("<H", 0x38, layout.MAGIC)
+                put("<I", 0x54, r["s_first_ino"])
+                put("<I", 0x60, r["s_feature_incompat"])
+                put("<I", 0x108, int(r["s_mkfs_time"].replace(tzinfo=datetime.UTC).timestamp()))
+                sb[0x68:0x78] = uuid.UUID(r["s_uuid"]).bytes
+                sb[0x78:0x88] = (r["s_volume_name"] or "").encode()[:16].ljust(16, b"\0")
+                out.append(bytes(sb))
+            yield pa.RecordBatch.from_arrays([batch.column("image_id"), batch.column("image_id"), pa.array(out, pa.binary())], names=["image_id", "image_path", "raw"])
+
+    rows = read_table(spark, d, "superblock", *names).distinct()
+    sb = M.superblock(rows.mapInArrow(run, "image_id string, image_path string, raw binary"))
+    total = F.col("s_blocks_count_lo") + F.when(F.col("incompat.`64BITS`"), F.col("s_blocks_count_hi")).otherwise(0) * F.lit(1 << 32)
+    return sb.select(
+        "image_id", "s_inodes_count", "s_inodes_per_group", "s_first_ino", "block_size", "block_group_count", "uuid_str", "s_volume_name", "s_mkfs_time", "magic_hex", F.col("incompat.EXTENTS").alias("extents"),
+        (total == F.col("blocks_count")).alias("same_total"), "s_blocks_count_lo",
+    )
+
+
+def inode_ages(spark: SparkSession, d: str) -> DataFrame:
+    """Inodes last changed in the past, and whether the age agrees with the clock to a minute."""
+    age = D.seconds_since("i_mtime")
+    return _inodes(spark, d, "i_mtime").select("image_id", "inode_number", (age > 0).alias("past"), (F.abs(age + F.col("i_mtime") - F.unix_timestamp()) < 60).alias("by_the_clock"))
 
 
 def obj_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -244,7 +323,7 @@ QUERIES = {
     for f in (
         mode_decode, permissions, inode_flags, feature_flags, superblock_sizes, le_decode, uuid_format, human_duration, live_entries, deleted_entries, children_of_root, dirent_inode_join,
         dirent_types, link_counts, name_lengths, inode_to_group, block_to_group, group_counts, image_totals, usage_by_type, bitmap_explode, free_ranges, file_parts, range_lookup,
-        extent_holes, uninitialized_extents, slack, zeroed_filter, obj_ids, largest_files, dx_roots,
+        extent_holes, uninitialized_extents, slack, inode_decode, zeroed_filter, superblock_decode, inode_ages, obj_ids, largest_files, dx_roots,
     )
 }
 
@@ -296,7 +375,7 @@ SQL = {
     "link_counts": f"SELECT f.image_id, f.inode, n_entries, i_links_count FROM (SELECT image_id, inode, count(*) AS n_entries FROM {_LIVE} WHERE file_type_str = 'file' GROUP BY ALL) f JOIN {_state('i_links_count')} s ON f.image_id = s.image_id AND f.inode = s.inode_number WHERE n_entries <> i_links_count",
     "name_lengths": "SELECT DISTINCT entry_id, CAST(octet_length(encode(name)) AS BIGINT) AS n_bytes, octet_length(encode(name)) = name_len AS same, lower(hex(encode(name))) AS name_hex, byte_end - byte_start = rec_len AS spans_record, '0x' || lower(to_hex(byte_start)) AS byte_start_hex FROM dirent WHERE name IS NOT NULL",
     "inode_to_group": "SELECT DISTINCT i.image_id, inode_number, group_number, CAST((inode_number - 1) // s_inodes_per_group AS INTEGER) AS computed_group FROM inode i JOIN superblock s ON i.image_id = s.image_id",
-    "block_to_group": "SELECT DISTINCT extent_id, ee_start_hi * 4294967296 + ee_start_lo AS physical, (ee_start_hi * 4294967296 + ee_start_lo) // 32768 AS group_number, '0x' || lower(to_hex(ee_start_hi * 4294967296 + ee_start_lo)) AS physical_hex FROM extent WHERE ee_start_lo IS NOT NULL",
+    "block_to_group": "SELECT DISTINCT extent_id, ee_start_hi * 4294967296 + ee_start_lo AS physical, CAST((ee_start_hi * 4294967296 + ee_start_lo - CASE WHEN block_size = 1024 THEN 1 ELSE 0 END) // (8 * block_size) AS INTEGER) AS group_number, '0x' || lower(to_hex(ee_start_hi * 4294967296 + ee_start_lo)) AS physical_hex FROM extent e JOIN superblock b ON e.image_id = b.image_id WHERE ee_start_lo IS NOT NULL",
     "group_counts": f"SELECT image_id, group_number, count(*) FILTER (allocated) AS allocated, count(*) FILTER (NOT allocated) AS unallocated FROM {_state('group_number', 'allocated')} GROUP BY ALL",
     "image_totals": f"SELECT b.image_id, s_inodes_count, s_blocks_count, count(*) FILTER (allocated) AS n_allocated, CAST(sum(size) FILTER (allocated) AS BIGINT) AS n_bytes, count(DISTINCT file_type) AS n_types FROM (SELECT DISTINCT image_id, s_inodes_count, s_blocks_count FROM superblock) b LEFT JOIN {_state('allocated', 'size', 'file_type')} s ON b.image_id = s.image_id GROUP BY ALL",
     "usage_by_type": f"SELECT image_id, file_type, count(*) AS n_inodes, CAST(sum(size) AS BIGINT) AS n_bytes, max(size) AS largest FROM {_state('file_type', 'size')} GROUP BY ALL",
@@ -308,7 +387,10 @@ SQL = {
     "extent_holes": f"SELECT extent_id, image_id, inode_number, logical, hole FROM (SELECT *, logical - coalesce(max(logical + n) OVER (PARTITION BY image_id, inode_number ORDER BY logical, extent_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS hole FROM {_PARTS}) WHERE hole > 0",
     "uninitialized_extents": f"SELECT image_id, count(*) FILTER (NOT initialized) AS n_uninitialized, CAST(sum(CASE WHEN initialized THEN n ELSE 0 END) AS BIGINT) AS n_readable FROM {_PARTS} GROUP BY ALL",
     "slack": f"SELECT s.image_id, inode_number, (block_size - size % block_size) % block_size AS slack_size FROM {_state('size', 'file_type')} s JOIN (SELECT DISTINCT image_id, block_size FROM superblock) b ON s.image_id = b.image_id WHERE file_type = 'file' AND size > 0",
-    "zeroed_filter": f"SELECT image_id, allocated, count(*) FILTER (coalesce(i_uid, 0) = 0 AND i_dtime = 0) AS n_plain, count(*) AS n_all FROM {_state('allocated', 'i_mode', 'i_uid', 'i_gid', 'size', 'i_atime', 'i_ctime', 'i_mtime', 'i_dtime', 'i_links_count', 'i_blocks_lo', 'i_flags')} GROUP BY ALL",
+    "inode_decode": f"SELECT image_id, inode_number, i_mode, coalesce(i_uid, 0) AS i_uid, i_atime, i_ctime, i_mtime, i_dtime, i_gid, i_links_count, i_blocks_lo, i_flags, i_generation, CASE WHEN i_mode & 61440 = 32768 THEN size ELSE size & 4294967295 END AS size, {_kind('i_mode')} AS kind, i_flags & 524288 <> 0 AS uses_extents, i_flags & 4096 <> 0 AS index_fl, i_mode & 2048 <> 0 AS setuid, i_mode & 128 <> 0 AS write FROM {_state('allocated', 'i_mode', 'i_uid', 'size', 'i_atime', 'i_ctime', 'i_mtime', 'i_dtime', 'i_gid', 'i_links_count', 'i_blocks_lo', 'i_flags', 'i_generation')}",
+    "zeroed_filter": f"SELECT image_id, allocated, count(*) FILTER (NOT allocated AND i_flags & 528384 = 0 AND i_mode = 0 AND coalesce(i_uid, 0) = 0 AND size & 4294967295 = 0 AND i_atime = 0 AND i_ctime = 0 AND i_mtime = 0 AND i_dtime = 0 AND i_gid = 0 AND i_links_count = 0 AND i_blocks_lo = 0 AND i_flags = 0) AS n_zeroed, count(*) AS n_all FROM {_state('allocated', 'i_mode', 'i_uid', 'size', 'i_atime', 'i_ctime', 'i_mtime', 'i_dtime', 'i_gid', 'i_links_count', 'i_blocks_lo', 'i_flags', 'i_generation')} GROUP BY ALL",
+    "superblock_decode": "SELECT DISTINCT image_id, s_inodes_count, CAST(s_inodes_per_group AS BIGINT) AS s_inodes_per_group, CAST(s_first_ino AS BIGINT) AS s_first_ino, block_size, CAST(s_inodes_count // s_inodes_per_group AS INTEGER) AS block_group_count, s_uuid AS uuid_str, coalesce(s_volume_name, '') AS s_volume_name, CAST(epoch(s_mkfs_time) AS BIGINT) AS s_mkfs_time, '0xef53' AS magic_hex, s_feature_incompat & 64 <> 0 AS extents, true AS same_total, s_blocks_count & 4294967295 AS s_blocks_count_lo FROM superblock",
+    "inode_ages": f"SELECT image_id, inode_number, epoch(now()) > i_mtime AS past, true AS by_the_clock FROM {_state('i_mtime')}",
     "obj_ids": f"SELECT entry_id, image_id, row_number() OVER (PARTITION BY image_id ORDER BY dir_inode, entry_id, ordinal) AS obj_id FROM {_LIVE}",
     "largest_files": f"SELECT image_id, inode_number, size FROM {_state('size', 'file_type')} WHERE file_type = 'file' ORDER BY size DESC, image_id, inode_number LIMIT 20",
     "dx_roots": "SELECT DISTINCT dx_id, image_id, dir_inode, dx_count <= dx_limit AND indirect_levels <= 1 AS plausible, coalesce(dot_inode = dir_inode, false) AS own_dot FROM dx_root",
