@@ -78,7 +78,7 @@ def block_groups(spark: SparkSession, d: str) -> DataFrame:
     both = s.group_usage.join(rows, key).join(s.group_desc.select(*key, "free_blocks", "number_of_blocks", "block_uninit"), key)
     per = both.groupBy("image_id").agg(
         F.bool_and((F.col("allocated") == F.col("_a")) & (F.col("unallocated") == F.col("_u"))).alias("runs_agree"), F.bool_and(F.col("unallocated") == F.col("free_blocks")).alias("descriptors_agree"),
-        F.bool_and(F.col("allocated") + F.col("unallocated") == F.col("number_of_blocks")).alias("covered"), F.sum("unallocated").alias("_free"), F.sum("number_of_blocks").alias("_all"), (F.count("*") > 1).alias("several"),
+        F.bool_and(F.col("allocated") + F.col("unallocated") == F.col("number_of_blocks")).alias("covered"), F.sum("unallocated").alias("_free"), F.sum("number_of_blocks").alias("_all"),
     )
     ranges = s.unallocated_block_ranges.groupBy("image_id").agg(F.sum("n").alias("_n"))
     single = s.unallocated_blocks.groupBy("image_id").agg(F.count("*").alias("_k"))
@@ -86,17 +86,17 @@ def block_groups(spark: SparkSession, d: str) -> DataFrame:
     own = s.superblock.select("image_id", "s_first_data_block")
     joined = per.join(ranges, "image_id").join(single, "image_id").join(c, "image_id").join(own, "image_id")
     return joined.select(
-        "image_id", "runs_agree", "descriptors_agree", "covered", "several", ((F.col("_n") == F.col("_free")) & (F.col("_k") == F.col("_free"))).alias("ranges_agree"),
+        "image_id", "runs_agree", "descriptors_agree", "covered", ((F.col("_n") == F.col("_free")) & (F.col("_k") == F.col("_free"))).alias("ranges_agree"),
         ((F.col("number_of_unallocated_blocks") == F.col("_free")) & (F.col("number_of_blocks") - F.col("s_first_data_block") == F.col("_all")) & (F.col("number_of_allocated_blocks") == F.col("_all") - F.col("_free"))).alias("totals_agree"),
     )
 
 
 def one_group(spark: SparkSession, d: str) -> DataFrame:
-    """Blocks and inodes of group 1 alone, by a filter that reaches the source."""
+    """Blocks and inodes of group 0 alone, by a filter that reaches the source."""
     s = kit(spark, d)
-    blocks = s.block.where("group_number = 1").groupBy("image_id").agg(F.count("*").alias("_b"), F.min("block_number").alias("first_block"))
-    free = s.unallocated_inodes.where("group_number = 1").groupBy("image_id").agg(F.bool_and("zeroed").alias("free_are_zeroed"))
-    desc = s.group_desc.where("group_number = 1").select("image_id", "number_of_blocks", "starting_block")
+    blocks = s.block.where("group_number = 0").groupBy("image_id").agg(F.count("*").alias("_b"), F.min("block_number").alias("first_block"))
+    free = s.unallocated_inodes.where("group_number = 0").groupBy("image_id").agg(F.bool_and("zeroed").alias("free_are_zeroed"))
+    desc = s.group_desc.where("group_number = 0").select("image_id", "number_of_blocks", "starting_block")
     return blocks.join(free, "image_id", "left").join(desc, "image_id").select("image_id", "first_block", (F.col("_b") == F.col("number_of_blocks")).alias("whole"), (F.col("first_block") == F.col("starting_block")).alias("starts_there"), F.coalesce("free_are_zeroed", F.lit(True)).alias("free_are_zeroed"))
 
 
@@ -129,7 +129,7 @@ def image_counts(spark: SparkSession, d: str) -> DataFrame:
     c = kit(spark, d).counts
     return c.select(
         "image_id", "number_of_allocated_inodes", (F.col("number_of_inodes") == F.col("number_of_allocated_inodes") + F.col("number_of_unallocated_inodes")).alias("inodes_add_up"),
-        (F.col("number_of_zeroed_inodes") == F.col("number_of_unallocated_inodes")).alias("free_are_zeroed"), (F.col("number_of_block_groups") > 1).alias("several_groups"),
+        (F.col("number_of_zeroed_inodes") == F.col("number_of_unallocated_inodes")).alias("free_are_zeroed"),
     )
 
 
@@ -407,8 +407,8 @@ UNION ALL SELECT image_id, '/' || dir, CASE WHEN contains(dir, '/') THEN '/' ||
     + f"""SELECT image_id, full_path, size AS n, size - 10 AS at, lower(right({_HEX}, 20)) AS last, lower(substr(h, 11, 14)) AS part, lower(substr(h, 21, 8)) AS again, CAST(14 AS BIGINT) AS tell, true AS is_file, true AS is_dir, size,
   lower(left(h, 16)) AS head, (n % 512) & 256 <> 0 AS user_read
 FROM (SELECT *, CASE WHEN hole > 0 THEN repeat('00', 64) ELSE {_HEX} END AS h FROM files WHERE text <> '' AND size >= 40 AND page > 3 ORDER BY full_path, image_id LIMIT 1)""",
-    "block_groups": _KIT + "SELECT image_id, true AS runs_agree, true AS descriptors_agree, true AS covered, true AS several, true AS ranges_agree, true AS totals_agree FROM images",
-    "one_group": _KIT + "SELECT image_id, CAST(CASE WHEN bs = 1024 THEN 2049 ELSE 4096 END AS BIGINT) AS first_block, true AS whole, true AS starts_there, true AS free_are_zeroed FROM images",
+    "block_groups": _KIT + "SELECT image_id, true AS runs_agree, true AS descriptors_agree, true AS covered, true AS ranges_agree, true AS totals_agree FROM images",
+    "one_group": _KIT + "SELECT image_id, CAST(CASE WHEN bs = 1024 THEN 1 ELSE 0 END AS BIGINT) AS first_block, true AS whole, true AS starts_there, true AS free_are_zeroed FROM images",
     "kit_journal": _KIT
     + "SELECT image_id, CAST(4 AS BIGINT) AS version, CAST(1024 AS BIGINT) AS block_size, CAST(6 AS BIGINT) AS length, v + 1 AS sequence, CAST(1 AS BIGINT) AS start, printf('00000000-0000-0000-0000-%012x', v) AS uuid_str FROM images WHERE bs = 1024",
     "kit_journal_records": _KIT
@@ -422,7 +422,7 @@ SELECT image_id, CAST(sum(r1 + CASE WHEN r1 > 4 THEN r2 ELSE 0 END + CASE WHEN r
     "kit_hexdump": _KIT + "SELECT image_id, '53ef' AS magic, 2048 AS n FROM images WHERE bs = 1024",
     "image_status": _KIT + "SELECT image_id, true AS readable FROM images",
     "image_counts": _KIT
-    + """SELECT i.image_id, 10 + f + d AS number_of_allocated_inodes, true AS inodes_add_up, true AS free_are_zeroed, true AS several_groups
+    + """SELECT i.image_id, 10 + f + d AS number_of_allocated_inodes, true AS inodes_add_up, true AS free_are_zeroed
   FROM images i JOIN (SELECT image_id, count(*) FILTER (kind <> 'deleted') AS f FROM kit GROUP BY 1) a ON a.image_id = i.image_id JOIN (SELECT image_id, count(*) AS d FROM folders GROUP BY 1) b ON b.image_id = i.image_id""",
     "entry_order": _KIT
     + """SELECT image_id, n, CAST(1 AS BIGINT) AS first, n AS last, n AS different FROM (SELECT image_id, count(*) AS n FROM (SELECT image_id FROM named UNION ALL SELECT image_id FROM folders) GROUP BY image_id)""",
