@@ -9,7 +9,7 @@ item, with the largest q of ``QS`` that leaves at least ``LEAST_BOUND`` hits (th
 counted in overlapping bands of diagonals as wide as the item's largest budget; what reaches the bound of some window inside one window's letters is retained.
 Q-grams that many items share are left out of the index where every window over them can spare one: its bound sinks by one, so nothing is lost.
 
-Each retained region is verified by a banded alignment that carries, for every diagonal and number of edits in the current word, the longest run of item words there:
+Retained regions whose best local alignment in the band scores less than a window within its budget must are dropped. Each other one is verified by a banded alignment that carries, for every diagonal and number of edits in the current word, the longest run of item words there:
 a word is there with at most ``WORD_EDITS`` of its letters edited, and at most ``STRAY`` page letters part two words. Where a run is long enough, a second pass of the
 alignment takes the fewest edits of each window of ``MIN_WORDS`` words: the pair is a leak if some window is there within the budget by which the filter was set, so filter and verification agree.
 
@@ -44,6 +44,8 @@ QS, LEAST_BOUND = (5, 4, 3, 2), 5
 COMMON, SPARED = 64, 10
 #: A word is there if at most this share of its letters (or one letter) is edited; more letters than STRAY between two words part them.
 WORD_EDITS, STRAY = 0.4, 2
+#: What an edit takes off the score by which regions are looked over before they are aligned word by word.
+EDIT_COST = 3
 COLUMN_GAP = 100
 BLOCK_LETTERS = 4_000_000
 #: Hits looked at together; a stretch of pages with more is worked off in overlapping pieces.
@@ -149,6 +151,9 @@ class Items:
         self.window = [np.stack([np.append(0, np.cumsum(s))[: len(b[0])], np.append(0, np.cumsum(s))[: len(b[0])] + b[0], b[1]], axis=1) for s, b in zip(sizes, bounds)]
         self.reach = np.array([b[0].max(initial=0) for b in bounds], np.int64)
         budget = np.array([b[1].max(initial=0) for b in bounds], np.int64)
+        #: Least score of a window within its budget, and most edits of a word.
+        self.least_score = np.array([(b[0] - b[1] * (1 + EDIT_COST)).min() if len(b[0]) else 0 for b in bounds], np.int64)
+        self.levels = np.array([int(self.may[a:z].max(initial=1)) for a, z in zip(self.start[:-1], self.start[1:])], np.int64)
         self.bits = np.maximum(4, np.ceil(np.log2(budget + 1)).astype(np.int64))
         self.longest = int(max(counts, default=0))
         self.overlap = int((self.reach + budget).max(initial=0)) + max(QS)
@@ -246,7 +251,7 @@ def reading_order(flat, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _retained(items: Items, p: Postings, letters: np.ndarray, doc: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Rows (document, item, band, first place, last place) of regions in which some window's bound is reached."""
+    """Rows (document, item, first diagonal, from, to) of regions in which some window's bound is reached; any such window lies whole in [from, to)."""
     g = _grams(letters, p.q)
     where, k = p.lookup(g)
     inside = doc[where] == doc[where + p.q - 1]
@@ -300,11 +305,12 @@ def _bands(items: Items, p: Postings, where: np.ndarray, k: np.ndarray, doc: np.
     ok = np.flatnonzero(ok)
     if not len(ok):
         return np.empty((0, 5), np.int64)
-    # windows that meet or overlap are one region
+    # a window holds its hits from the first to the last one, so it ends at most its length behind the first and begins at most its length before the last; windows that meet or overlap are one region
     kk, a, b = key[ok], at[ok], at[last[ok]]
     part = np.append(True, (kk[1:] != kk[:-1]) | (a[1:] > b[:-1] + 1))
     f = np.flatnonzero(part)
-    kk, a, b = kk[f], a[f], np.maximum.reduceat(b, f)
+    reach = items.reach[(kk[f] >> room) % len(items.ids)]
+    kk, a, b = kk[f], np.minimum.reduceat(b, f) + p.q - reach, np.maximum.reduceat(a, f) + reach
     pair = kk >> room
     item = pair % len(items.ids)
     low = ((kk & ((1 << room) - 1)) << items.bits[item]) - shift
@@ -366,29 +372,61 @@ def _banded(items: Items, item: np.ndarray, a: np.ndarray, b: np.ndarray, low: n
     return out
 
 
+def _scores(items: Items, item: np.ndarray, a: np.ndarray, b: np.ndarray, low: np.ndarray, page: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
+    """Best local score of each region: a letter 1, an edit -EDIT_COST. A window within its budget scores at least its letters less (1 + EDIT_COST) for each edit."""
+    order = np.argsort(a - b, kind="stable")
+    item, a, b, low, begin, end = (x[order] for x in (item, a, b, low, begin, end))
+    size = b - a
+    steps = int(size.max(initial=0))
+    src = (begin + low + a)[:, None] + np.arange(steps + width)
+    valid = (src >= begin[:, None]) & (src < end[:, None])
+    text = np.where(valid, page[np.clip(src, 0, max(len(page) - 1, 0))], 0) if len(page) else np.zeros(src.shape, np.uint32)
+    at = items.start[item] + a
+    kind = np.int16 if width * EDIT_COST + steps < 30_000 else np.int32
+    cost = kind(EDIT_COST)
+    across = np.arange(width, dtype=kind) * cost
+    v = np.zeros((len(item), width), kind)
+    best = np.zeros(len(item), kind)
+    for i in range(steps):
+        live = int(np.searchsorted(-size, -i, "left"))
+        v = v[:live]
+        new = v + np.where(text[:live, i : i + width] == items.letters[at[:live] + i][:, None], kind(1), -cost)
+        np.maximum(new[:, :-1], v[:, 1:] - cost, out=new[:, :-1])
+        new += across
+        np.maximum.accumulate(new, axis=1, out=new)
+        new -= across
+        np.maximum(new, 0, out=new)
+        np.maximum(best[:live], new.max(axis=1), out=best[:live])
+        v = new
+    out = np.empty(len(item), np.int64)
+    out[order] = best
+    return out
+
+
 def verify(items: Items, rows: np.ndarray, page: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Longest run of words of each retained region, 0 where no window of words is there within its edit budget."""
     d, item, low, a, b = rows.T
-    # a passage may reach a window's letters beyond its first and last hit, and its way as many diagonals as a band has
     length = items.start[item + 1] - items.start[item]
-    a, b = np.maximum(0, a - items.reach[item]), np.minimum(length, b + items.reach[item] + max(QS))
+    a, b = np.maximum(0, a), np.minimum(length, b)
     low = low - (1 << items.bits[item])
     s, e = begin[d], begin[d + 1]
-    out = np.zeros(len(rows), np.int64)
 
-    def each(own: np.ndarray, a: np.ndarray, b: np.ndarray, of: np.ndarray, runs: bool) -> np.ndarray:
+    def each(what, own: np.ndarray, a: np.ndarray, b: np.ndarray, *more) -> np.ndarray:
         got = np.zeros(len(own), np.int64)
-        for bits in np.unique(items.bits[item[of]]).tolist():
-            some = np.flatnonzero(items.bits[item[of]] == bits)
+        kind = items.bits[item[own]] << 16 | (items.levels[item[own]] if more else 0)
+        for k in np.unique(kind).tolist():
+            some = np.flatnonzero(kind == k)
             some = some[np.argsort((b - a)[some], kind="stable")]
-            for k in range(0, len(some), REGIONS_AT_ONCE):
-                x = some[k : k + REGIONS_AT_ONCE]
-                r = of[x]
-                got[x] = _banded(items, item[r], a[x], b[x], low[r], page, s[r], e[r], 4 << bits, runs)
+            for j in range(0, len(some), REGIONS_AT_ONCE):
+                x = some[j : j + REGIONS_AT_ONCE]
+                r = own[x]
+                got[x] = what(items, item[r], a[x], b[x], low[r], page, s[r], e[r], 4 << (k >> 16), *more)
         return got
 
-    every = np.arange(len(rows))
-    out = each(every, a, b, every, True)
+    out = np.zeros(len(rows), np.int64)
+    near = np.arange(len(rows))
+    near = near[each(_scores, near, a, b) >= items.least_score[item]]
+    out[near] = each(_banded, near, a[near], b[near], True)
     near = np.flatnonzero(out >= items.min_words)
     if not len(near):
         return np.zeros(len(rows), np.int64)
@@ -396,13 +434,13 @@ def verify(items: Items, rows: np.ndarray, page: np.ndarray, begin: np.ndarray)
     of, first, last, budget = [], [], [], []
     for r in near.tolist():
         bound = items.window[item[r]]
-        inside = np.flatnonzero((bound[:, 1] > a[r]) & (bound[:, 0] < b[r]))
+        inside = np.flatnonzero((bound[:, 0] >= a[r]) & (bound[:, 1] <= b[r]))
         of.append(np.full(len(inside), r))
         first.append(bound[inside, 0])
         last.append(bound[inside, 1])
         budget.append(bound[inside, 2])
     of, first, last, budget = (np.concatenate(x) for x in (of, first, last, budget))
-    kept = np.unique(of[-each(of, first, last, of, False) <= budget])
+    kept = np.unique(of[-each(_banded, of, first, last, False) <= budget])
     final = np.zeros(len(rows), np.int64)
     final[kept] = out[kept]
     return final

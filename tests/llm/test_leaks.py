@@ -221,6 +221,25 @@ def _brute_run(words, page, low, width):
     return best
 
 
+def test_scores_bound_every_passage():
+    """A window with as many edits as it may have scores what the filter asks, whatever edits they are."""
+    rng = random.Random(31)
+    code = lambda t: leaks.fold(np.frombuffer(t.encode("utf-32-le"), np.uint32))
+    for _ in range(60):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.choice([1, 2, 3, 4, 6, 9]))) for _ in range(14)]
+        items = leaks.Items([(1, " ".join(words))])
+        first, last, budget = items.window[0][rng.randrange(len(items.window[0]))]
+        page = list("".join(words)[first:last])
+        for _ in range(budget):
+            k = rng.randrange(len(page))
+            page[k] = rng.choice(["", "z", page[k] + "y"])
+        page = code("q" * 20 + "".join(page) + "q" * 20)
+        one, m = np.array([0]), len(items.letters)
+        bits = int(items.bits[0])
+        low = np.array([20 - first - (2 << bits)])
+        assert leaks._scores(items, one, one, np.array([m]), low, page, one, np.array([len(page)]), 4 << bits)[0] >= items.least_score[0]
+
+
 def test_word_runs_against_brute_force():
     rng = random.Random(2)
     for _ in range(25):
