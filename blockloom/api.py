@@ -157,6 +157,15 @@ class ImageSet:
     def inode_block(self) -> DataFrame:
         return FL.inode_block(self._used, self.offset)
 
+    @cached_property
+    def contiguous(self) -> DataFrame:
+        """Runs of blocks joined where they go on on disk."""
+        return FL.contiguous(self.runs)
+
+    @cached_property
+    def hole(self) -> DataFrame:
+        return FL.holes(self.runs)
+
     @cached_property
     def dirent(self) -> DataFrame:
         return FL.dirent(self._used, self.runs, self.offset)

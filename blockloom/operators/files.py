@@ -187,6 +187,38 @@ def block_runs(inodes: DataFrame, master_offset: int = 0) -> DataFrame:
     return mapped.unionByName(tree)
 
 
+def contiguous(runs: DataFrame, *order: str) -> DataFrame:
+    """(image_id, inode_number, seq, block_start, block_end, running_start, running_end): runs in logical order (then by ``order``), joined where the next begins where the last ends on disk.
+
+    ``runs``: image_id, inode_number, logical, n, physical. Offsets are in blocks and run on without holes, as the parts of a reader that ignores them.
+    """
+    first = ("logical", *order)
+    by = Window.partitionBy(*KEY).orderBy(*first)
+    rows = runs.withColumn("_end", F.lag(F.col("physical") + F.col("n")).over(by))
+    parts = (
+        rows.withColumn("_r", F.sum(F.when(F.col("physical") == F.col("_end"), 0).otherwise(1)).over(by))
+        .groupBy(*KEY, "_r")
+        .agg(F.min_by("physical", F.struct(*first)).alias("block_start"), F.sum("n").alias("n_blocks"))
+    )
+    along = Window.partitionBy(*KEY).orderBy("_r")
+    running = F.sum("n_blocks").over(along.rowsBetween(Window.unboundedPreceding, 0))
+    return parts.select(
+        *KEY, F.row_number().over(along).alias("seq"), "block_start", (F.col("block_start") + F.col("n_blocks")).alias("block_end"), (running - F.col("n_blocks")).alias("running_start"), running.alias("running_end")
+    )
+
+
+def part_at(parts: DataFrame, at: Column) -> DataFrame:
+    """The parts whose running range holds ``at``."""
+    return parts.where((at >= F.col("running_start")) & (at < F.col("running_end")))
+
+
+def holes(runs: DataFrame, *order: str) -> DataFrame:
+    """``runs`` that begin behind the furthest end before them, with the blocks between as ``hole``."""
+    by = Window.partitionBy(*KEY).orderBy("logical", *order)
+    far = F.max(F.col("logical") + F.col("n")).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    return runs.withColumn("hole", F.col("logical") - F.coalesce(far, F.lit(0))).where("hole > 0")
+
+
 def inode_block(inodes: DataFrame, master_offset: int = 0) -> DataFrame:
     """(image_id, inode_number, logical_block, physical_block, initialized): a row per mapped block; a hole has none."""
     return block_runs(inodes, master_offset).where("n > 0").select(*KEY, F.posexplode(F.sequence(F.col("physical"), F.col("physical") + F.col("n") - 1)).alias("_k", "physical_block"), "logical", "initialized").select(

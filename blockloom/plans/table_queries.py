@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.functions import decode as D
@@ -186,34 +186,20 @@ def _part_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def file_parts(spark: SparkSession, d: str) -> DataFrame:
     """Extents in logical order, joined where the next begins where the last ends on disk, with running offsets."""
-    by = Window.partitionBy("image_id", "inode_number").orderBy("logical", "extent_id")
-    rows = _part_rows(spark, d).withColumn("_end", F.lag(F.col("physical") + F.col("n")).over(by))
-    parts = (
-        rows.withColumn("_r", F.sum(F.when(F.col("physical") == F.col("_end"), 0).otherwise(1)).over(by))
-        .groupBy("image_id", "inode_number", "_r")
-        .agg(F.min_by("physical", F.struct("logical", "extent_id")).alias("block_start"), F.sum("n").alias("n_blocks"))
-    )
-    order = Window.partitionBy("image_id", "inode_number").orderBy("_r")
-    running = F.sum("n_blocks").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return parts.select(
-        "image_id", "inode_number", F.row_number().over(order).alias("seq"), "block_start", (F.col("block_start") + F.col("n_blocks")).alias("block_end"),
-        (running - F.col("n_blocks")).alias("running_start"), running.alias("running_end"),
-    )
+    return FL.contiguous(_part_rows(spark, d), "extent_id")
 
 
 def range_lookup(spark: SparkSession, d: str) -> DataFrame:
     """The part that holds the middle block of each inode's parts."""
     parts = file_parts(spark, d)
     middle = parts.groupBy("image_id", "inode_number").agg(F.expr("max(running_end) div 2").alias("at"))
-    return parts.join(middle, ["image_id", "inode_number"]).where("at >= running_start and at < running_end").select("image_id", "inode_number", "at", "seq", (F.col("block_start") + F.col("at") - F.col("running_start")).alias("block"))
+    found = FL.part_at(parts.join(middle, ["image_id", "inode_number"]), F.col("at"))
+    return found.select("image_id", "inode_number", "at", "seq", (F.col("block_start") + F.col("at") - F.col("running_start")).alias("block"))
 
 
 def extent_holes(spark: SparkSession, d: str) -> DataFrame:
     """Blocks between an extent's start and the furthest end before it."""
-    by = Window.partitionBy("image_id", "inode_number").orderBy("logical", "extent_id")
-    far = F.max(F.col("logical") + F.col("n")).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    rows = _part_rows(spark, d).withColumn("hole", F.col("logical") - F.coalesce(far, F.lit(0)))
-    return rows.where("hole > 0").select("extent_id", "image_id", "inode_number", "logical", "hole")
+    return FL.holes(_part_rows(spark, d), "extent_id").select("extent_id", "image_id", "inode_number", "logical", "hole")
 
 
 def uninitialized_extents(spark: SparkSession, d: str) -> DataFrame:
